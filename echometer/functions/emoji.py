@@ -16,9 +16,22 @@ def _longest_first(names: dict[str, str]) -> list[str]:
     return sorted(names, key=lambda e: (-len(e), e))
 
 
-def _first_characters(names: dict[str, str]) -> str:
-    points = sorted({ord(e[0]) for e in names})
-    return "[" + "".join(f"\\x{{{p:X}}}" for p in points) + "]"
+def _rough_class(names: dict[str, str], ranges: int = 4) -> str | None:
+    """A character class that finds every text with an emoji, in few ranges and so cheap to test.
+
+    Each emoji is looked for by its first character beyond ASCII; the ranges may hold others.
+    """
+    points = set()
+    for emoji in names:
+        beyond = [ord(c) for c in emoji if ord(c) > 0x7F]
+        if not beyond:
+            return None
+        points.add(beyond[0])
+    ordered = sorted(points)
+    gaps = sorted(range(1, len(ordered)), key=lambda i: ordered[i - 1] - ordered[i])[: ranges - 1]
+    starts = [0, *sorted(gaps), len(ordered)]
+    spans = [(ordered[i], ordered[j - 1]) for i, j in zip(starts, starts[1:])]
+    return "[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in spans) + "]"
 
 
 def name_emoji(text: Column, names: dict[str, str]) -> Column:
@@ -44,5 +57,7 @@ def name_emoji(text: Column, names: dict[str, str]) -> Column:
         compiled = re.compile(pattern)
         return texts.map(lambda t: compiled.sub(lambda m: names[m.group()], t), na_action="ignore")
 
-    holds_any = F.rlike(text, F.lit(_first_characters(names)))
-    return F.coalesce(substitute(F.when(holds_any, text)), text)
+    rough = _rough_class(names)
+    if rough is None:
+        return substitute(text)
+    return F.coalesce(substitute(F.when(F.rlike(text, F.lit(rough)), text)), text)

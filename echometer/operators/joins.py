@@ -37,7 +37,7 @@ def join_value(
     ``values`` must be cheap to read again (a checkpoint or table). If they are few they are
     broadcast. Otherwise the values of keys with more than one in ``hot_keys`` of all rows, hence
     fewer than ``hot_keys`` values, are broadcast, and only the other rows have to meet their
-    value in a shuffle; rows already served are spread over it evenly.
+    value in a shuffle; rows already served are spread over it evenly. ``key`` must not be null.
     """
     named = [name for name in values.columns if name not in (key, copies)]
     if holds_at_most(values, broadcast_rows):
@@ -46,16 +46,14 @@ def join_value(
     total = values.agg(F.sum(copies).alias("n")).first()["n"]
     is_hot = F.col(copies) * hot_keys > F.lit(total)
     hot = values.where(is_hot).select(key, F.struct(*named).alias("_hot"))
-    cold = values.where(~is_hot).select(
-        F.col(key).alias("_key"), F.lit(0).alias("_lane"), F.struct(*named).alias("_cold")
-    )
-    # The input partition picks the lane: a repeated task sends its rows the same way again.
-    lane = F.when(F.col("_hot").isNotNull(), F.pmod(F.spark_partition_id(), F.lit(SALTS)) + 1)
+    cold = values.where(~is_hot).select(F.col(key).alias("_key"), F.struct(*named).alias("_cold"))
+    # Rows already served look for a key that no value has. The input partition picks it, so that
+    # a repeated task sends its rows the same way again.
+    lane = F.concat(F.lit("lane "), F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("string"))
     served = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_lane", F.coalesce(lane, F.lit(0))
-    )
-    joined = served.join(
-        cold, (F.col(key) == F.col("_key")) & (served["_lane"] == cold["_lane"]), "left"
+        "_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(lane)
     )
     found = F.coalesce(F.col("_hot"), F.col("_cold"))
-    return joined.select(*rows.columns, *(found[name].alias(name) for name in named))
+    return served.join(cold, "_key", "left").select(
+        *rows.columns, *(found[name].alias(name) for name in named)
+    )

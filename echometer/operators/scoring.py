@@ -16,9 +16,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echometer.operators.joins import join_value, text_digest
+from echometer.operators.joins import BROADCAST_ROWS, join_value, text_digest
 from echometer.operators.relevance import repeats_account
-from echometer.session import broadcast_within, settled
+from echometer.session import holds_at_most, settled
 
 # The score of a retweet of the target, and the model's rows per forward pass.
 RETWEET_SCORE = 1.0
@@ -59,24 +59,24 @@ class LexiconScorer:
 
         A text's equal words are counted before the join and distinct texts are scored once.
         """
-        keyed = rows.withColumn("_digest", text_digest(text))
+        keyed = rows.withColumn("_words_of", text_digest(text))
         texts = settled(
-            keyed.where(F.col(text).isNotNull()).groupBy("_digest", text).agg(F.count(F.lit(1)).alias("_copies"))
+            keyed.where(F.col(text).isNotNull()).groupBy("_words_of", text).agg(F.count(F.lit(1)).alias("_repeats"))
         )
         weights = (
-            texts.select("_digest", F.explode(F.split(text, " ")).alias("word"))
-            .groupBy("_digest", "word")
+            texts.select("_words_of", F.explode(F.split(text, " ")).alias("word"))
+            .groupBy("_words_of", "word")
             .agg(F.count(F.lit(1)).alias("_times"))
             .join(self._lexicon, "word")
-            .groupBy("_digest")
+            .groupBy("_words_of")
             .agg(F.sum(F.col("weight") * F.col("_times")).alias("_weight"))
         )
         scores = settled(
             texts.drop(text)
-            .join(weights, "_digest", "left")
-            .select("_digest", "_copies", sigmoid(F.coalesce("_weight", F.lit(0.0))).alias(out))
+            .join(weights, "_words_of", "left")
+            .select("_words_of", "_repeats", sigmoid(F.coalesce("_weight", F.lit(0.0))).alias(out))
         )
-        return join_value(keyed, scores, "_digest", "_copies").drop("_digest")
+        return join_value(keyed, scores, "_words_of", "_repeats").drop("_words_of")
 
 
 def _word_weigher(words: Sequence[str], weights: Sequence[float]):
@@ -258,10 +258,10 @@ def join_back(rows: DataFrame, scores: DataFrame, out: str = "SENTIMENT") -> Dat
     """Left join rows to scores of their distinct text pairs; null texts match each other."""
     pair = text_digest("FULL_TEXT", "PROCESSED_TEXT")
     keyed = rows.withColumn("_digest", pair)
-    copies = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies"))
-    known = settled(
-        scores.select(pair.alias("_digest"), out)
-        .join(copies, "_digest")
-        .select("_digest", "_copies", out)
-    )
-    return join_value(keyed, known, "_digest", "_copies").drop("_digest")
+    known = settled(scores.select(pair.alias("_digest"), out))
+    if holds_at_most(known, BROADCAST_ROWS):
+        joined = keyed.join(F.broadcast(known), "_digest", "left")
+    else:
+        copies = keyed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_copies"))
+        joined = join_value(keyed, settled(known.join(copies, "_digest")), "_digest", "_copies")
+    return joined.drop("_digest")

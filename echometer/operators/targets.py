@@ -31,7 +31,8 @@ def _with_handles(posts: DataFrame, text: str, reply: str) -> DataFrame:
 
 
 def _addressed() -> Column:
-    return F.array_compact(F.array_union("_mentions", F.array("_reply")))
+    replied = F.when(F.col("_reply").isNull(), F.array().cast("array<string>")).otherwise(F.array("_reply"))
+    return F.array_union("_mentions", replied)
 
 
 def directed_at(

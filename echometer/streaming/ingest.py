@@ -11,7 +11,7 @@ from echometer.operators.scoring import Scorer
 from echometer.operators.targets import INLINE_ACCOUNTS
 from echometer.plans.ingest import add_sentiment, directed_posts, with_processed_text
 from echometer.schemas import PARTITION_DAY
-from echometer.session import holds_at_most
+from echometer.session import holds_at_most, settled
 from echometer.sources.facts import read_facts, write_batch
 
 LATENESS = "2 days"
@@ -76,24 +76,22 @@ def start_ingest(
         rows = received
 
         def finish(batch: DataFrame) -> DataFrame:
-            directed = directed_posts(batch, accounts, language)
-            return not_stored(directed.dropDuplicates(["TARGET", "TWEET_ID"]), table)
-
-    read_twice = scorer.costly or finish is not None
+            once = directed_posts(batch, accounts, language).dropDuplicates(["TARGET", "TWEET_ID"])
+            return not_stored(settled(once), table)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if read_twice:
-            batch = batch.persist()
+        fresh = with_processed_text(finish(batch) if finish else batch, emoji)
+        if not scorer.costly:
+            write_batch(add_sentiment(fresh, scorer), table, f"{run}-{batch_id}")
+            return
+        # Read twice: for the distinct texts, and for the rows that take their scores.
+        fresh = fresh.persist()
         try:
-            if read_twice and batch.isEmpty():
-                return
-            fresh = finish(batch) if finish else batch
-            scored = add_sentiment(with_processed_text(fresh, emoji), scorer)
-            write_batch(scored, table, f"{run}-{batch_id}")
+            if not fresh.isEmpty():
+                write_batch(add_sentiment(fresh, scorer), table, f"{run}-{batch_id}")
         finally:
-            if read_twice:
-                batch.unpersist()
+            fresh.unpersist()
 
     writer = (
         rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).queryName(name)
