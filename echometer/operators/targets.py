@@ -71,13 +71,21 @@ def assign_targets(
         return _assign_by_join(posts, known, text, reply, key)
     inline = F.broadcast(accounts.sparkSession.createDataFrame(rows, known.schema))
     tracked = F.split(F.lit(" ".join(sorted({row["_handle"] for row in rows}))), " ")
+    nobody = F.array().cast("array<string>")
+    named = F.array_intersect(mentions(F.col(text)), tracked)
+    replied = F.lower(reply)
     fanned = (
-        _with_handles(posts, text, reply)
-        .withColumn("_alone", F.size(F.array_intersect("_mentions", tracked)) <= 1)
-        .withColumn("_handle", F.explode(F.array_intersect(_addressed(), tracked)))
-        .where(F.col("_alone") | F.col("_handle").eqNullSafe(F.col("_reply")))
+        posts.withColumns(
+            {
+                "_named": named,
+                "_replied": F.when(F.array_contains(tracked, replied), F.array(replied)).otherwise(nobody),
+            }
+        )
+        .withColumn("_named", F.when(F.size("_named") == 1, F.col("_named")).otherwise(nobody))
+        .withColumn("_handle", F.explode(F.array_union("_named", "_replied")))
+        .drop("_named", "_replied")
     )
-    return fanned.join(inline, "_handle").drop("_handle", "_alone", "_reply", "_mentions")
+    return fanned.join(inline, "_handle").drop("_handle")
 
 
 def _assign_by_join(
