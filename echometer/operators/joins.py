@@ -1,4 +1,4 @@
-"""Joining rows to values of their texts when a few texts hold most of the rows."""
+"""Joins that hold when a few keys have most of the rows."""
 
 from __future__ import annotations
 
@@ -12,6 +12,26 @@ HOT_KEYS = 1_000
 SALTS = 1_024
 
 
+def join_dimension(
+    rows: DataFrame,
+    dimension: DataFrame,
+    key: str,
+    how: str = "inner",
+    broadcast_rows: int = BROADCAST_ROWS,
+    lanes: int = 32,
+) -> DataFrame:
+    """Join rows to a dimension, broadcast if it holds at most ``broadcast_rows`` rows.
+
+    A larger one is repeated in ``lanes`` copies, and the rows of one key are dealt out to them
+    by input partition, so that no task gets more than its share of a hot key.
+    """
+    if holds_at_most(dimension, broadcast_rows):
+        return rows.join(F.broadcast(dimension), key, how)
+    dealt = rows.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
+    repeated = dimension.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    return dealt.join(repeated, [key, "_lane"], how).drop("_lane")
+
+
 def text_digest(*texts: str) -> Column:
     """SHA-256 of one or more text columns; null is a value of its own.
 

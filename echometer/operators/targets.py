@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from echometer.functions.text import mentions
-from echometer.session import broadcast_within, settled
+from echometer.operators.joins import join_dimension, join_value
+from echometer.session import settled
 
 INLINE_ACCOUNTS = 1_000
 
@@ -17,22 +18,19 @@ def in_language(posts: DataFrame, language: str | None, column: str = "LANG") ->
 
 
 def _account_columns(accounts: DataFrame) -> DataFrame:
-    return accounts.select(
+    return accounts.where(F.length("account") > 0).select(
         F.lower("account").alias("_handle"),
         F.col("id").alias("TARGET"),
         F.col("account").alias("ACCOUNT"),
     )
 
 
-def _with_handles(posts: DataFrame, text: str, reply: str) -> DataFrame:
-    return posts.withColumns(
-        {"_mentions": mentions(F.col(text)), "_reply": F.lower(F.nullif(F.col(reply), F.lit("")))}
-    )
+def _replied_to(reply: str) -> Column:
+    return F.lower(F.nullif(F.col(reply), F.lit("")))
 
 
-def _addressed() -> Column:
-    replied = F.when(F.col("_reply").isNull(), F.array().cast("array<string>")).otherwise(F.array("_reply"))
-    return F.array_union("_mentions", replied)
+def _nobody() -> Column:
+    return F.array().cast("array<string>")
 
 
 def directed_at(
@@ -42,11 +40,10 @@ def directed_at(
 
     Adds ``TARGET``, ``ACCOUNT`` and ``IS_REPLY``.
     """
-    fanned = _with_handles(posts, text, reply).withColumn("_handle", F.explode(_addressed()))
-    joined = fanned.join(broadcast_within(_account_columns(accounts)), "_handle")
-    return joined.withColumn("IS_REPLY", F.col("_handle").eqNullSafe(F.col("_reply"))).drop(
-        "_handle", "_reply", "_mentions"
-    )
+    replied = F.when(_replied_to(reply).isNull(), _nobody()).otherwise(F.array(_replied_to(reply)))
+    fanned = posts.withColumn("_handle", F.explode(F.array_union(mentions(F.col(text)), replied)))
+    joined = join_dimension(fanned, _account_columns(accounts), "_handle")
+    return joined.withColumn("IS_REPLY", F.col("_handle").eqNullSafe(_replied_to(reply))).drop("_handle")
 
 
 def assign_targets(
@@ -65,68 +62,72 @@ def assign_targets(
     The accounts are a constant of the plan, so that one narrow pass decides; a list of more than
     ``inline_accounts`` is joined instead, which needs ``key`` and a batch frame.
     """
+    return _judged(posts, accounts, text, reply, key, inline_accounts).where("_counts").drop("_counts")
+
+
+def co_mentioned(
+    posts: DataFrame,
+    accounts: DataFrame,
+    text: str = "FULL_TEXT",
+    reply: str = "REPLY_TO",
+    key: str = "TWEET_ID",
+    inline_accounts: int = INLINE_ACCOUNTS,
+) -> DataFrame:
+    """Pairs of post key and target that only the co-mention rule rejects."""
+    judged = _judged(posts, accounts, text, reply, key, inline_accounts)
+    return judged.where(~F.col("_counts")).select(key, "TARGET")
+
+
+def _judged(
+    posts: DataFrame, accounts: DataFrame, text: str, reply: str, key: str, inline_accounts: int
+) -> DataFrame:
+    """Posts per account they are directed at in any way; ``_counts`` is the rule's verdict."""
     known = _account_columns(accounts)
     rows = known.limit(inline_accounts + 1).collect()
     if len(rows) > inline_accounts:
-        return _assign_by_join(posts, known, text, reply, key)
+        return _judged_by_join(posts, known, text, reply, key)
     inline = F.broadcast(accounts.sparkSession.createDataFrame(rows, known.schema))
     tracked = F.split(F.lit(" ".join(sorted({row["_handle"] for row in rows}))), " ")
-    nobody = F.array().cast("array<string>")
-    named = F.array_intersect(mentions(F.col(text)), tracked)
     replied = F.lower(reply)
     fanned = (
         posts.withColumns(
             {
-                "_named": named,
-                "_replied": F.when(F.array_contains(tracked, replied), F.array(replied)).otherwise(nobody),
+                "_named": F.array_intersect(mentions(F.col(text)), tracked),
+                "_replied": F.when(F.array_contains(tracked, replied), F.array(replied)).otherwise(_nobody()),
             }
         )
-        .withColumn("_named", F.when(F.size("_named") == 1, F.col("_named")).otherwise(nobody))
         .withColumn("_handle", F.explode(F.array_union("_named", "_replied")))
+        .withColumn("_counts", (F.size("_named") <= 1) | F.array_contains("_replied", F.col("_handle")))
         .drop("_named", "_replied")
     )
     return fanned.join(inline, "_handle").drop("_handle")
 
 
-def _assign_by_join(
+def _judged_by_join(
     posts: DataFrame, accounts: DataFrame, text: str, reply: str, key: str
 ) -> DataFrame:
-    """As ``assign_targets`` for an account list of any size.
+    """As ``_judged`` for an account list of any size.
 
-    The pairs of post key and tracked handle are made distinct before they are counted, so copies
-    of one post never meet in one group.
+    Pairs of post key and tracked handle are counted per task before they are shuffled, and posts
+    with many copies find their count by broadcast.
     """
-    handles = broadcast_within(accounts.select("_handle").distinct())
+    named = posts.select(F.col(key), F.explode(mentions(F.col(text))).alias("_handle"))
     crowded = (
-        posts.select(F.col(key), F.explode(mentions(F.col(text))).alias("_handle"))
-        .join(handles, "_handle", "left_semi")
-        .distinct()
+        join_dimension(named, accounts.select("_handle").distinct(), "_handle", "left_semi")
+        .groupBy(key, "_handle")
+        .agg(F.count(F.lit(1)).alias("_times"))
         .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_named"))
+        .agg(F.count(F.lit(1)).alias("_named"), F.sum("_times").alias("_copies"))
         .where(F.col("_named") > 1)
     )
-    fanned = (
-        _with_handles(posts, text, reply)
-        .withColumn("_handle", F.explode(_addressed()))
-        .join(broadcast_within(accounts), "_handle")
-    )
+    pairs = directed_at(posts, accounts.withColumnsRenamed({"TARGET": "id", "ACCOUNT": "account"}), text, reply)
     return (
-        fanned.join(crowded, key, "left")
-        .where(F.col("_named").isNull() | F.col("_handle").eqNullSafe(F.col("_reply")))
-        .drop("_handle", "_reply", "_mentions", "_named")
+        join_value(pairs, settled(crowded), key, "_copies")
+        .withColumn("_counts", F.col("_named").isNull() | F.col("IS_REPLY"))
+        .drop("_named", "IS_REPLY")
     )
 
 
-def co_mentioned(
-    posts: DataFrame, accounts: DataFrame, text: str = "FULL_TEXT", reply: str = "REPLY_TO",
-    key: str = "TWEET_ID",
-) -> DataFrame:
-    """Pairs of post key and target that only the co-mention rule rejects."""
-    pairs = directed_at(posts, accounts, text, reply).select(key, "TARGET")
-    kept = assign_targets(posts, accounts, text, reply, key).select(key, "TARGET")
-    return pairs.join(kept, [key, "TARGET"], "left_anti")
-
-
 def high_water_marks(facts: DataFrame, target: str = "TARGET", key: str = "TWEET_ID") -> DataFrame:
     """Largest stored post id of every target."""
     return facts.groupBy(target).agg(F.max(key).alias("MAX_ID"))
@@ -139,13 +140,11 @@ def after_high_water(
 
     The marks, one row per target, are computed once and broadcast if they are few.
     """
-    known = broadcast_within(
-        settled(marks.select(F.col(target).alias("_target"), F.col("MAX_ID").alias("_mark")))
-    )
+    known = settled(marks.select(target, F.col("MAX_ID").alias("_mark")))
     return (
-        rows.join(known, F.col(target) == F.col("_target"), "left")
+        join_dimension(rows, known, target, "left")
         .where(F.col("_mark").isNull() | (F.col(key) > F.col("_mark")))
-        .drop("_target", "_mark")
+        .drop("_mark")
     )
 
 

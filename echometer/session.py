@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,11 +57,3 @@ def settled(df: DataFrame) -> DataFrame:
 def holds_at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has no more than ``rows`` rows; reads at most one row beyond that."""
     return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_within(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` if it holds at most ``rows`` rows, else leave the join to the optimizer.
-
-    Beyond the bound the join shuffles both sides and adaptive execution splits hot keys.
-    """
-    return F.broadcast(df) if holds_at_most(df, rows) else df

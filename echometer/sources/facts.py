@@ -35,17 +35,17 @@ def _laid_out(interactions: DataFrame, batch: str) -> DataFrame:
     """Columns in table order, grouped by day and sorted for row-group pruning.
 
     ``rebalance`` gathers a day's rows into files of the advised size and splits a day that holds
-    most of the rows.
+    most of the rows. That takes adaptive execution, which a stream's session has switched off;
+    there the rows are written by the tasks that hold them, evenly spread by their ids.
     """
-    return (
-        interactions.select(
-            *(F.col(field.name).cast(field.dataType) for field in FACT.fields),
-            F.to_date("TWEET_TIMESTAMP").alias(PARTITION_DAY),
-            F.lit(batch).alias(PARTITION_BATCH),
-        )
-        .hint("rebalance", PARTITION_DAY)
-        .sortWithinPartitions(PARTITION_DAY, "TWEET_TIMESTAMP", "TARGET")
+    rows = interactions.select(
+        *(F.col(field.name).cast(field.dataType) for field in FACT.fields),
+        F.to_date("TWEET_TIMESTAMP").alias(PARTITION_DAY),
+        F.lit(batch).alias(PARTITION_BATCH),
     )
+    if interactions.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        rows = rows.hint("rebalance", PARTITION_DAY)
+    return rows.sortWithinPartitions(PARTITION_DAY, "TWEET_TIMESTAMP", "TARGET")
 
 
 def append(interactions: DataFrame, table: str, batch: str = "direct") -> None:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from echometer.operators import scoring
-from echometer.operators.joins import join_value, text_digest
+from echometer.operators.joins import join_dimension, join_value, text_digest
 
 WEIGHTS = {"bien": 1.0, "mal": -2.0, "eso": 0.5}
 
@@ -129,3 +129,13 @@ def test_learned_scorer(spark):
     assert scored.columns == ["TWEET_ID", "t", "s"]
     got = scores(scored, "s")
     assert got[1] > 0.5 > got[2] and got[3] is None and got[4] is not None
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_join_dimension_beyond_its_bound(spark, how):
+    frame = spark.range(0, 900, 1, 16).select("id", F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"))
+    dimension = spark.createDataFrame([("hot", 1), ("k1", 2), ("k2", 3), ("other", 4)], "k string, v int")
+    want = frame.join(dimension, "k", how)
+    got = join_dimension(frame, dimension, "k", how, broadcast_rows=0, lanes=4)
+    assert got.columns == want.columns
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()

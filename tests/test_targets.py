@@ -41,6 +41,7 @@ def test_assignment(spark):
     df = posts(spark, ROWS)
     assert pairs(targets.assign_targets(df, accounts(spark))) == want
     assert pairs(targets.assign_targets(df, accounts(spark), inline_accounts=0)) == want
+    assert pairs(targets.co_mentioned(df, accounts(spark), inline_accounts=0)) == [(2, "t1"), (2, "t2"), (3, "t2"), (7, "t1")]
     directed = targets.directed_at(df, accounts(spark))
     assert pairs(directed) == sorted(want + [(2, "t1"), (2, "t2"), (3, "t2"), (7, "t1")])
     assert {(r["TWEET_ID"], r["TARGET"]) for r in directed.where("IS_REPLY").collect()} == {(3, "t1"), (4, "t2"), (7, "t3"), (8, "t3")}
