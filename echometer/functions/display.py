@@ -56,18 +56,13 @@ def compact_number(count: Column) -> Column:
     From 1e15 on there is no suffix left, and the result is null.
     """
     size = F.abs(count.cast("double"))
-    digits = F.when(size < 1, 1).otherwise(F.floor(F.log10(size)) + 1)
+    digits = F.floor(F.log10(F.greatest(size, F.lit(1.0)))) + 1
     step = F.pow(F.lit(10.0), F.greatest(digits - 2, F.lit(0)))
     rounded = F.bround(count / step, 0) * step
-    shown = []
-    for power, suffix in enumerate(MAGNITUDES):
-        scaled = rounded / F.lit(1000.0**power)
-        number = F.when(scaled == F.floor(scaled), scaled.cast("bigint").cast("string")).otherwise(
-            F.format_string("%.1f", scaled)
-        )
-        fits = F.abs(rounded) < 1000.0 ** (power + 1)
-        shown.append(F.when(fits, F.concat(number, F.lit(suffix))))
-    return F.coalesce(*shown)
+    power = F.floor(F.log10(F.greatest(F.abs(rounded), F.lit(1.0))) / 3).cast("int")
+    shown = F.format_string("%.1f", rounded / F.pow(F.lit(1000.0), power))
+    suffix = F.try_element_at(F.array(*(F.lit(m) for m in MAGNITUDES)), power + 1)
+    return F.when(count.isNotNull(), F.concat(F.regexp_replace(shown, r"\.0$", ""), suffix))
 
 
 def display_time(moment: Column) -> Column:

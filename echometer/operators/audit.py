@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,9 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     return rows.select("FULL_TEXT", "PROCESSED_TEXT").dropDuplicates()
 
 
-def counted(rows: DataFrame, name: str, *more: Column) -> DataFrame:
-    """Count rows as they pass, under ``name`` in the metrics of the query; needs no extra job."""
+def counted(rows: DataFrame, name: str | Observation, *more: Column) -> DataFrame:
+    """Count rows as they pass; needs no extra job.
+
+    A stream reports the count under ``name`` in its progress, a batch in the ``Observation``.
+    """
     return rows.observe(name, F.count(F.lit(1)).alias("rows"), *more)

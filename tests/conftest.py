@@ -9,6 +9,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    from echometer.session import apply_settings
+
     session = (
         SparkSession.builder.master("local[8]")
         .appName("tests")
@@ -22,5 +24,6 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    apply_settings(session)
     yield session
     session.stop()

@@ -132,3 +132,14 @@ def test_interaction_columns_and_nulls(spark):
     assert not any(null_audit(frame).first())
     assert rows_with_id(frame, 1) == 1
     assert in_order(frame).columns == frame.columns
+
+
+def test_counting_in_passing(spark):
+    from pyspark.sql import Observation
+
+    from echometer.operators.audit import counted
+
+    seen = Observation("seen")
+    rows = counted(posts(spark, ROWS), seen, F.count_if(F.col("REPLY_TO").isNotNull()).alias("replies"))
+    assert rows.where("TWEET_ID > 5").count() == 4
+    assert seen.get == {"rows": len(ROWS), "replies": 5}
