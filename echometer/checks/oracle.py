@@ -340,6 +340,17 @@ FROM interactions WHERE {_RELEVANT}
         f"WITH {_DIRECTED} SELECT tweet_id, target, account, full_text FROM assigned "
         f"WHERE lang = 'es' AND {_RELEVANT}"
     ),
+    "incremental_pull": f"""
+WITH {_INGEST},
+stored AS (
+  SELECT target, max(tweet_id) AS mark FROM kept
+  WHERE tweet_timestamp < {_NOW} - INTERVAL 1440 MINUTE GROUP BY target),
+pulled AS (
+  SELECT * FROM assigned LEFT JOIN stored USING (target)
+  WHERE lang = 'es' AND (mark IS NULL OR tweet_id > mark)
+  QUALIFY row_number() OVER (PARTITION BY target ORDER BY tweet_id DESC) <= 100)
+SELECT tweet_id, target FROM pulled WHERE {_RELEVANT}
+""",
     "latest_k_per_account": f"""
 WITH {_INTERACTIONS}
 SELECT tweet_id, target FROM interactions

@@ -197,6 +197,15 @@ def directed_and_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lower(kept.select("TWEET_ID", "TARGET", "ACCOUNT", "FULL_TEXT"))
 
 
+def incremental_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One polling cycle: the newest 100 posts per account beyond the stored ids, then the rules."""
+    posts, accounts = views.raw_posts(spark, sf_dir), views.accounts(spark, sf_dir)
+    yesterday = clock.minutes_before(views.newest_second(spark, sf_dir), 1440)
+    stored = ingest.directed_posts(posts, accounts, "es").where(F.col("TWEET_TIMESTAMP") < yesterday)
+    fresh = ingest.directed_posts(posts, accounts, "es", stored=stored, most_recent=100)
+    return _lower(fresh.select("TWEET_ID", "TARGET"))
+
+
 def latest_k_per_account(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = targets.latest_k(views.interactions(spark, sf_dir), 100)
     return _lower(latest.select("TWEET_ID", "TARGET"))
@@ -468,6 +477,7 @@ QUERIES: dict[str, Query] = {
         assigned_targets_by_join,
         co_mention_exclusion,
         directed_and_relevant,
+        incremental_pull,
         latest_k_per_account,
         document_mentions,
         language_filter,

@@ -9,7 +9,13 @@ from echometer.functions.text import normalize
 from echometer.operators.flatten import flatten
 from echometer.operators.relevance import keep_relevant
 from echometer.operators.scoring import Scorer, score_deduplicated, score_with_rule
-from echometer.operators.targets import assign_targets, in_language
+from echometer.operators.targets import (
+    after_high_water,
+    assign_targets,
+    high_water_marks,
+    in_language,
+    latest_k,
+)
 from echometer.schemas import FACT, INTERACTION
 
 
@@ -18,10 +24,21 @@ def directed_posts(
     accounts: DataFrame,
     language: str | None = None,
     ingested_at: Column | None = None,
+    stored: DataFrame | None = None,
+    most_recent: int | None = None,
 ) -> DataFrame:
-    """Flat posts per account they are directed at, irrelevant ones dropped; no shuffle."""
-    flat = in_language(flatten(posts, ingested_at), language)
-    return keep_relevant(assign_targets(flat, accounts))
+    """Flat posts per account they are directed at, irrelevant ones dropped; no shuffle.
+
+    Two options bound a batch pull before the relevance rules. ``stored`` facts leave only posts
+    with larger ids than an account has there. ``most_recent`` is the page size of a search
+    service, the newest posts per account; by default nothing is cut off.
+    """
+    assigned = assign_targets(in_language(flatten(posts, ingested_at), language), accounts)
+    if stored is not None:
+        assigned = after_high_water(assigned, high_water_marks(stored))
+    if most_recent is not None:
+        assigned = latest_k(assigned, most_recent)
+    return keep_relevant(assigned)
 
 
 def with_processed_text(directed: DataFrame, emoji: dict[str, str] | None = None) -> DataFrame:
@@ -59,8 +76,10 @@ def ingest(
     emoji: dict[str, str] | None = None,
     ingested_at: Column | None = None,
     deduplicate: bool | None = None,
+    stored: DataFrame | None = None,
+    most_recent: int | None = None,
 ) -> DataFrame:
     """The whole path as one batch; repeated posts of a target are kept once."""
-    directed = directed_posts(posts, accounts, language, ingested_at)
+    directed = directed_posts(posts, accounts, language, ingested_at, stored, most_recent)
     once = directed.dropDuplicates(["TARGET", "TWEET_ID"])
     return add_sentiment(with_processed_text(once, emoji), scorer, deduplicate)
