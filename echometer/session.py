@@ -20,6 +20,12 @@ RECOMMENDED = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
+# For the session builder; these cannot change later.
+AT_START = {
+    # Checkpoints of finished micro-batches are deleted once nothing refers to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
 
 def apply_settings(spark: SparkSession) -> SparkSession:
     for key, value in RECOMMENDED.items():
@@ -42,6 +48,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def keeps_old_checkpoints(spark: SparkSession) -> bool:
+    """Whether checkpoints stay on disk for good."""
+    name = "spark.cleaner.referenceTracking.cleanCheckpoints"
+    return spark.sparkContext.getConf().get(name, "false").lower() != "true"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

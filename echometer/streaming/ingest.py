@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from echometer.functions.clock import post_time
 from echometer.operators.audit import counted
 from echometer.operators.scoring import Scorer
 from echometer.operators.targets import INLINE_ACCOUNTS
 from echometer.plans.ingest import add_sentiment, directed_posts, with_processed_text
 from echometer.schemas import PARTITION_DAY
-from echometer.session import holds_at_most, settled
+from echometer.session import holds_at_most, keeps_old_checkpoints, settled
 from echometer.sources.facts import read_facts, write_batch
 
 LATENESS = "2 days"
@@ -65,11 +68,16 @@ def start_ingest(
     the next at once); without it the query takes what is available and ends. Each micro-batch
     is written under its own name, so that a repeated one replaces its rows.
 
-    Repeated posts are recognised by state. With too many accounts for a constant of the plan,
+    Posts without id or readable time are counted as unusable and left out. Repeated posts are
+    recognised by state. With too many accounts for a constant of the plan,
     targets are joined per micro-batch and repeats are looked up in the table instead.
     """
-    received = counted(posts.where(F.col("id").isNotNull()), "received")
-    if holds_at_most(accounts, INLINE_ACCOUNTS):
+    usable = F.col("id").isNotNull() & post_time(F.col("created_at")).isNotNull()
+    received = counted(posts, "received", F.count_if(~usable).alias("unusable")).where(usable)
+    by_state = holds_at_most(accounts, INLINE_ACCOUNTS)
+    if (scorer.costly or not by_state) and keeps_old_checkpoints(posts.sparkSession):
+        warnings.warn("every micro-batch leaves checkpoint files behind; see session.AT_START", stacklevel=2)
+    if by_state:
         directed = directed_posts(received, accounts, language)
         rows, finish = counted(drop_repeats(directed, lateness, lanes), "kept"), None
     else:

@@ -9,7 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from echometer.session import apply_settings
+    from echometer.session import AT_START, apply_settings
 
     session = (
         SparkSession.builder.master("local[8]")
@@ -21,6 +21,7 @@ def spark(tmp_path_factory):
         .config("spark.driver.memory", "8g")
         .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
         .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .config(map=AT_START)
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

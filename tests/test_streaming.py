@@ -100,6 +100,13 @@ def test_late_rows(spark, place):
     assert stored(spark, place) == [(1, "t1"), (2, "t1")]
 
 
+def test_unusable_posts_are_counted(spark, place):
+    land(place[0] / "in", [post(1, "@abc_ hola"), post(2, "@abc_ hola", "soon"), post(None, "@abc_ hola"), post(3, "@abc_ hola", None)])
+    query = run(spark, place)
+    assert dict(query.recentProgress[0]["observedMetrics"]["received"].asDict()) == {"rows": 4, "unusable": 3}
+    assert stored(spark, place) == [(1, "t1")]
+
+
 def test_costly_scorer(spark, place):
     land(place[0] / "in", [post(i, f"@abc_ {'x' * (i % 3 + 1)}") for i in range(9)])
     run(spark, place, ModelScorer(lambda: lambda texts: np.array([[len(t)] for t in texts], dtype=float)))
