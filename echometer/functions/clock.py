@@ -44,6 +44,15 @@ def like_column(moment: Column, data_type: T.DataType) -> Column:
     return moment.cast(data_type)
 
 
+def not_after_now(moment: Column) -> Column:
+    """``moment``, or now if it lies in the future.
+
+    Event time for watermarks: one post with a wrong clock would otherwise move the watermark past
+    all posts to come.
+    """
+    return F.least(moment, F.current_timestamp())
+
+
 # Fixed value: the month names of post times.
 _MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 

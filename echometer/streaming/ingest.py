@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from echometer.functions.clock import post_time
+from echometer.functions.clock import not_after_now, post_time
 from echometer.operators.audit import counted
 from echometer.operators.scoring import Scorer
 from echometer.operators.targets import INLINE_ACCOUNTS
@@ -29,14 +29,16 @@ def drop_repeats(directed: DataFrame, lateness: str = LATENESS, lanes: int = COP
     and only that many copies reach the final one. One lane means the final step alone, for
     sources whose repeats are rare.
     """
-    dated = directed.withWatermark("TWEET_TIMESTAMP", lateness)
+    dated = directed.withColumn("_moment", not_after_now(F.col("TWEET_TIMESTAMP"))).withWatermark(
+        "_moment", lateness
+    )
     if lanes > 1:
         dated = (
             dated.withColumn("_lane", F.pmod(F.spark_partition_id(), F.lit(lanes)))
             .dropDuplicatesWithinWatermark(["TARGET", "TWEET_ID", "_lane"])
             .drop("_lane")
         )
-    return dated.dropDuplicatesWithinWatermark(["TARGET", "TWEET_ID"])
+    return dated.dropDuplicatesWithinWatermark(["TARGET", "TWEET_ID"]).drop("_moment")
 
 
 def not_stored(rows: DataFrame, table: str, most_days: int = 1_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from echometer.functions.clock import not_after_now
 from echometer.functions.display import positive_share
 
 
@@ -17,14 +18,14 @@ def rolling_metrics(
 ) -> DataFrame:
     """Interactions and approval per target and window, each emitted once it is closed.
 
-    Rows are summed per task before they are shuffled, so a target with most of the rows costs
+    A post dated in the future counts as posted now, as it does in the queries over the last
+    minutes. Rows are summed per task before they are shuffled, so a target with most of the rows costs
     no more than the others.
     """
     return (
-        interactions.withWatermark("TWEET_TIMESTAMP", lateness)
-        .groupBy(
-            F.window("TWEET_TIMESTAMP", length, slide).alias("span"), F.col("TARGET").alias("target")
-        )
+        interactions.withColumn("_moment", not_after_now(F.col("TWEET_TIMESTAMP")))
+        .withWatermark("_moment", lateness)
+        .groupBy(F.window("_moment", length, slide).alias("span"), F.col("TARGET").alias("target"))
         .agg(
             F.count(F.lit(1)).alias("responses"),
             positive_share(F.col("SENTIMENT")).alias("sentiment"),

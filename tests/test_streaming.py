@@ -1,3 +1,4 @@
+import datetime
 import json
 import uuid
 
@@ -100,6 +101,15 @@ def test_late_rows(spark, place):
     assert stored(spark, place) == [(1, "t1"), (2, "t1")]
 
 
+def test_wrong_clock_does_not_shut_out_later_posts(spark, place):
+    now = str(datetime.datetime.now(datetime.timezone.utc))[:19]
+    land(place[0] / "in", [post(1, "@abc_ hola", "2099-01-10 10:00:00"), post(2, "@abc_ hola", now)])
+    run(spark, place)
+    land(place[0] / "in", [post(3, "@abc_ hola", now), post(1, "@abc_ hola", "2099-01-10 10:00:00")])
+    run(spark, place)
+    assert stored(spark, place) == [(1, "t1"), (2, "t1"), (3, "t1")]
+
+
 def test_unusable_posts_are_counted(spark, place):
     land(place[0] / "in", [post(1, "@abc_ hola"), post(2, "@abc_ hola", "soon"), post(None, "@abc_ hola"), post(3, "@abc_ hola", None)])
     query = run(spark, place)
