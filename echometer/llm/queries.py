@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from echometer.llm.decontaminate import op6_decontamination
+from echometer.llm.secrets import op9_secrets
 
 QUERIES = {
     "op6_decontamination": op6_decontamination,
+    "op9_secrets": op9_secrets,
 }
 
 ORACLE: dict[str, str] = {}
