@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from echometer.llm.chat import OP4_SQL, op4_chat_formatting
 from echometer.llm.decontaminate import op6_decontamination
 from echometer.llm.secrets import op9_secrets
+from echometer.llm.sharding import op2_sharding
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_chat_formatting": op4_chat_formatting,
     "op6_decontamination": op6_decontamination,
     "op9_secrets": op9_secrets,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op4_chat_formatting": OP4_SQL,
+}
