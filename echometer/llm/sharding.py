@@ -17,7 +17,7 @@ get neighbouring places. Empty tables give an empty result and the map of versio
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,35 +56,42 @@ def first_map(slots: int, shards: int) -> dict[int, int]:
 
 
 def rebalanced(slot_map: dict[int, int], weights: dict[int, int], shards: int) -> dict[int, int]:
-    """The next version: shards above the mean give up slots, which go to the lightest shards.
+    """The next version: slots change places between the heaviest and the lightest shard.
 
-    Deterministic; slots that stay are not touched. ``shards`` may exceed those of the former map.
+    Each edit moves a slot of the heaviest shard, or exchanges it for a slot of the lightest, so that
+    the difference of the two comes closest to zero; the rest of the map stays. It ends when no edit
+    makes the two more equal. ``shards`` may exceed those of the former map.
     """
-    held: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+    edited = dict(slot_map)
+    held: list[list[tuple[int, int]]] = [[(0, -1)] for _ in range(shards)]
     for slot, shard in slot_map.items():
-        held[shard].append((weights.get(slot, 0), slot))
+        if weights.get(slot, 0):
+            held[shard].append((weights[slot], slot))
+    for slots in held:
+        slots.sort()
     loads = [sum(w for w, _ in slots) for slots in held]
-    mean = sum(loads) / shards
-    edited, released = dict(slot_map), []
-    for shard, slots in enumerate(held):
-        # The largest ones whose loss does not bring the shard below the mean, then the smallest ones.
-        for weight, slot in sorted(slots, reverse=True):
-            if weight and loads[shard] - weight >= mean:
-                loads[shard] -= weight
-                released.append((weight, slot))
-        for weight, slot in sorted(slots):
-            if loads[shard] <= mean:
-                break
-            if weight and (weight, slot) not in released:
-                loads[shard] -= weight
-                released.append((weight, slot))
-    lightest = [(load, shard) for shard, load in enumerate(loads)]
-    heapq.heapify(lightest)
-    for weight, slot in sorted(released, key=lambda x: (-x[0], x[1])):
-        load, shard = heapq.heappop(lightest)
-        edited[slot] = shard
-        heapq.heappush(lightest, (load + weight, shard))
-    return edited
+    while True:
+        heavy = max(range(shards), key=loads.__getitem__)
+        light = min(range(shards), key=loads.__getitem__)
+        gap = loads[heavy] - loads[light]
+        best = (gap, None, None)
+        for given in held[heavy]:
+            # Shifting gap / 2 makes the two equal.
+            at = bisect.bisect_left(held[light], (given[0] - gap / 2, -1))
+            for taken in held[light][max(0, at - 1) : at + 1]:
+                left = abs(gap - 2 * (given[0] - taken[0]))
+                if left < best[0]:
+                    best = (left, given, taken)
+        _, given, taken = best
+        if given is None:
+            return edited
+        for (weight, slot), source, target in ((given, heavy, light), (taken, light, heavy)):
+            if slot >= 0:
+                held[source].remove((weight, slot))
+                bisect.insort(held[target], (weight, slot))
+                loads[source] -= weight
+                loads[target] += weight
+                edited[slot] = target
 
 
 def store_map(spark: SparkSession, slot_map: dict[int, int], version: int, folder: str) -> DataFrame:
