@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from echometer.llm.chat import OP4_SQL, op4_chat_formatting
 from echometer.llm.decontaminate import op6_decontamination
+from echometer.llm.language import op8_language_id
 from echometer.llm.secrets import op9_secrets
 from echometer.llm.sharding import op2_sharding
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_decontamination": op6_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_secrets": op9_secrets,
 }
 
