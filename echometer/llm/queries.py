@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from echometer.llm.bpe import op7_byte_bpe
 from echometer.llm.chat import OP4_SQL, op4_chat_formatting
 from echometer.llm.decontaminate import op6_decontamination
 from echometer.llm.language import op8_language_id
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_decontamination": op6_decontamination,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_secrets": op9_secrets,
 }
