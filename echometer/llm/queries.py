@@ -6,6 +6,7 @@ from echometer.llm.bpe import op7_byte_bpe
 from echometer.llm.chat import OP4_SQL, op4_chat_formatting
 from echometer.llm.decontaminate import op6_decontamination
 from echometer.llm.language import op8_language_id
+from echometer.llm.lines import OP10_SQL, op10_line_dedup
 from echometer.llm.secrets import op9_secrets
 from echometer.llm.sharding import op2_sharding
 
@@ -16,8 +17,10 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
     "op9_secrets": op9_secrets,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": OP4_SQL,
+    "op10_line_dedup": OP10_SQL,
 }
