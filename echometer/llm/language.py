@@ -122,20 +122,16 @@ def training_sample(
         F.xxhash64(common.plain(key)).alias("place"),
         held_out(common.plain(key)).alias("held_out"),
     ).filter("NOT held_out AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).count()
-    if sizes > MAX_LANGUAGES:
+    # Hashes spread evenly, so a share of them is about as large a share of the rows; the rank makes it exact.
+    sizes = labelled.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    quota = max(1, rows // max(1, sizes))
-    ranked = Window.partitionBy("lang").orderBy("place")
-    # Places first and texts afterwards: ranking moves no text.
-    last = (
-        labelled.select("lang", "place")
-        .withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= quota)
-        .groupBy("lang")
-        .agg(F.max("place").alias("last"))
+    quota = max(1, rows // max(1, len(sizes)))
+    shares = docs.sparkSession.createDataFrame(
+        [(row["lang"], min(1.0, 1.5 * quota / row["count"])) for row in sizes], "lang string, share double"
     )
-    near = labelled.join(F.broadcast(last), "lang").filter("place <= last")
+    ranked = Window.partitionBy("lang").orderBy("place")
+    near = labelled.join(F.broadcast(shares), "lang").filter((F.col("place") / 2.0**64 + 0.5) < F.col("share"))
     return near.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= quota).select(
         "lang", "text", "place"
     )
