@@ -6,6 +6,7 @@ from echometer.llm.bpe import op7_byte_bpe
 from echometer.llm.chat import OP4_SQL, op4_chat_formatting
 from echometer.llm.decontaminate import op6_decontamination
 from echometer.llm.fingerprints import op1_fingerprints
+from echometer.llm.jaccard import op3_ngram_jaccard
 from echometer.llm.language import op8_language_id
 from echometer.llm.lines import OP10_SQL, op10_line_dedup
 from echometer.llm.secrets import op9_secrets
@@ -14,6 +15,7 @@ from echometer.llm.sharding import op2_sharding
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
