@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from echometer.llm import common
+from echometer.llm import common, ordering
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003_061, 1_715_761_013)
@@ -202,19 +202,6 @@ def fingerprints(docs: DataFrame, carry: list[str] | None = None, text: str = "t
     return common.annotate(docs, start, FIELDS, carry, text)
 
 
-def _bucket(value: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most ``value``, by binary search; null is 0."""
-    size = 1 << len(bounds).bit_length()
-    padded = F.lit(bounds + [(1 << 63) - 1] * (size - len(bounds)))
-    steps = F.lit([1 << k for k in reversed(range(size.bit_length() - 1))])
-    place = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.element_at(padded, at + step) <= value, at + step).otherwise(at),
-    )
-    return F.least(place, F.lit(len(bounds)))
-
-
 def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows sorted by id within buckets of ascending ids; after a bucket's rows (``extra`` 1) its successor."""
     spark = docs.sparkSession
@@ -223,10 +210,8 @@ def in_order(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         common.plain(key).cast("long").alias("doc_id"),
         F.coalesce(common.plain(text), F.lit("")).alias("text"),
     ).withColumn("text_hash", F.xxhash64("text"))
-    quantiles = [k / partitions for k in range(1, partitions)]
-    found = rows.select(F.percentile_approx("doc_id", quantiles, 100 * partitions)).first()[0] if quantiles else None
-    bounds = sorted(set(found or []))
-    dealt = rows.withColumn("bucket", _bucket(F.col("doc_id"), bounds)).withColumn("extra", F.lit(0))
+    bounds = ordering.id_bounds(rows)
+    dealt = rows.withColumn("bucket", ordering.bucket_of(F.col("doc_id"), bounds)).withColumn("extra", F.lit(0))
     # One row per bucket: as many as there are shuffle partitions.
     heads = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "text_hash")).alias("head")).collect()
     heads = sorted((row.bucket, row["head"].doc_id, row["head"].text_hash) for row in heads)

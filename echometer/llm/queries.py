@@ -11,12 +11,14 @@ from echometer.llm.language import op8_language_id
 from echometer.llm.lines import OP10_SQL, op10_line_dedup
 from echometer.llm.secrets import op9_secrets
 from echometer.llm.sharding import op2_sharding
+from echometer.llm.tokens import op5_token_files
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_token_files": op5_token_files,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_language_id": op8_language_id,
