@@ -37,45 +37,54 @@ LINE = ["line_hash", "line_check"]
 
 
 def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``place`` (id, text hash, number), ``line`` and its 128-bit hash, of every line long enough."""
+    """``place`` (id, text hash, number), ``line``, its length and its 128-bit hash, of every line long enough."""
     rows = docs.select(
         common.plain(key).alias("doc_id"), F.xxhash64(common.plain(text)).alias("text_hash"),
         F.posexplode(F.split(common.plain(text), "\n", -1)).alias("line_no", "line"),
     )
-    return rows.filter(F.length("line") >= min_chars).select(
+    # Lengths are counted once; counting is linear in a line.
+    return rows.withColumn("chars", F.length("line")).filter(F.col("chars") >= min_chars).select(
         F.struct("doc_id", "text_hash", "line_no").alias("place"),
         "line",
+        "chars",
         F.xxhash64("line").alias("line_hash"),
         F.xxhash64(F.lit("second"), "line").alias("line_check"),
     )
 
 
-def _cut(line: Column, blocks: int | None) -> Column:
-    """Array of (base, block number, key, block, shorter): the line without one block, for each block.
+def _half_keys(line: Column, chars: Column) -> Column:
+    """What is left of a line when one half of it is cut out, hashed, for its length and for one less."""
+
+    def keys(base: Column) -> tuple[Column, Column]:
+        half = F.floor(base / 2).cast("int")
+        first, last = F.substr(line, F.lit(1), half), F.substr(line, chars - (base - half) + 1)
+        return F.xxhash64(base, F.lit("first"), first), F.xxhash64(base, F.lit("last"), last)
+
+    return F.array(*keys(chars), *keys(chars - 1))
 
-    ``base`` is the length that the block bounds are laid out for. A line of that length meets lines of its
-    own length and those one longer, so every line is cut for its length and for one less.
-    """
-    n = F.length(line)
 
-    def count(base: Column) -> Column:
-        if blocks is not None:
-            return F.lit(blocks)
-        return F.greatest(F.lit(2), F.least(F.lit(MOST_BLOCKS), F.floor(base / BLOCK_CHARS).cast("int")))
+def _block_cuts(line: Column, chars: Column) -> Column:
+    """Array of (key, block, shorter): the line without one of its short blocks, hashed, and that block.
+
+    Block bounds are laid out for a base length. A line of that length meets lines of its own length and
+    those one longer, so every line is cut for its length and for one less.
+    """
 
     def of(base: Column, more: int) -> Column:
+        blocks = F.greatest(F.lit(2), F.least(F.lit(MOST_BLOCKS), F.floor(base / BLOCK_CHARS).cast("int")))
+
         def one(k: Column) -> Column:
-            start = F.floor(base * k / count(base)).cast("int")
-            stop = F.floor(base * (k + 1) / count(base)).cast("int")
+            start = F.floor(base * k / blocks).cast("int")
+            stop = F.floor(base * (k + 1) / blocks).cast("int")
             key = F.xxhash64(base, k, F.substr(line, F.lit(1), start), F.substr(line, stop + more + 1))
             return F.struct(
-                base.alias("base"), k.alias("number"), key.alias("key"),
-                F.substr(line, start + 1, stop - start + more).alias("block"), F.lit(more == 0).alias("shorter"),
+                key.alias("key"), F.substr(line, start + 1, stop - start + more).alias("block"),
+                F.lit(more == 0).alias("shorter"),
             )
 
-        return F.transform(F.sequence(F.lit(0), count(base) - 1), one)
+        return F.transform(F.sequence(F.lit(0), blocks - 1), one)
 
-    return F.concat(of(n, 0), of(n - 1, 1))
+    return F.concat(of(chars, 0), of(chars - 1, 1))
 
 
 def _shared_keys(cuts: DataFrame) -> DataFrame:
@@ -110,17 +119,17 @@ def first_places(lines: DataFrame) -> DataFrame:
 
 def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """Distinct lines with an earlier line one edit away: hash and ``kept``, the earliest such place."""
-    halves = lines.select(*LINE, F.explode(F.transform(_cut(F.col("line"), 2), lambda c: c["key"])).alias("key"))
+    halves = lines.select(*LINE, F.explode(_half_keys(F.col("line"), F.col("chars"))).alias("key"))
     sharing = halves.join(_shared_keys(halves), "key", "left_semi").select(*LINE).distinct()
     # One text for each line that shares a half; its place comes along.
     candidates = common.stored(
         lines.join(sharing, LINE, "left_semi")
         .groupBy(*LINE)
-        .agg(F.min(F.struct("place", "line")).alias("first"))
-        .select(*LINE, "first.place", "first.line"),
+        .agg(F.min(F.struct("place", "line", "chars")).alias("first"))
+        .select(*LINE, "first.place", "first.line", "first.chars"),
         "lines-sharing-halves",
     )
-    cuts = candidates.select(*LINE, "place", F.explode(_cut(F.col("line"), None)).alias("cut")).select(
+    cuts = candidates.select(*LINE, "place", F.explode(_block_cuts(F.col("line"), F.col("chars"))).alias("cut")).select(
         *LINE, "place", "cut.*"
     )
     survivors = cuts.join(_shared_keys(cuts), "key", "left_semi")
