@@ -238,6 +238,18 @@ WITH {_PROCESSED_DOCUMENTS}, {_lexicon_score("doc_id", "processed")}
 SELECT doc_id, round(score, 6) AS score FROM answers
 """
 
+_LEARNED = f"""
+{_PROCESSED_DOCUMENTS},
+words AS (
+  SELECT quality, unnest(string_split(processed_text, ' ')) AS word FROM processed JOIN labels USING (doc_id)
+  WHERE quality IN (0, 1)),
+counts AS (
+  SELECT word, count(*) FILTER (quality = 1) AS good, count(*) FILTER (quality = 0) AS bad FROM words GROUP BY word),
+learned AS (
+  SELECT word, ln(((good + 1) / (sum(good) OVER () + count(*) OVER ()))
+                  / ((bad + 1) / (sum(bad) OVER () + count(*) OVER ()))) AS weight FROM counts)
+"""
+
 _INGEST = f"""
 {_DIRECTED},
 kept AS (
@@ -362,6 +374,13 @@ SELECT doc_id, unnest(list_distinct(
 FROM documents
 """,
     "language_filter": "SELECT doc_id, lang FROM documents WHERE lang = 'es'",
+    "learned_lexicon": f"WITH {_LEARNED} SELECT word, round(weight, 6) AS weight FROM learned",
+    "ml_scores": f"""
+WITH {_LEARNED},
+own AS (SELECT doc_id, unnest(string_split(processed_text, ' ')) AS word FROM processed)
+SELECT doc_id, round(1 / (1 + exp(-coalesce(sum(weight), 0))), 6) AS score
+FROM own LEFT JOIN learned USING (word) GROUP BY doc_id
+""",
     "normalized_text": f"WITH {_PROCESSED} SELECT tweet_id, processed_text FROM processed",
     "normalized_documents": f"WITH {_PROCESSED_DOCUMENTS} SELECT doc_id, processed_text FROM processed",
     "normalization_steps": _steps(),

@@ -297,6 +297,15 @@ def lexicon_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _six("score").alias("score"))
 
 
+def learned_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = views.table(spark, sf_dir, "documents").select(
+        "doc_id", text.normalize(F.col("text")).alias("processed_text")
+    )
+    labels = views.table(spark, sf_dir, "labels").select("doc_id", "quality")
+    learned = scoring.log_odds_lexicon(documents.join(labels, "doc_id"), "processed_text", "quality")
+    return learned.select("word", _six("weight").alias("weight"))
+
+
 def lexicon_scores_by_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = views.table(spark, sf_dir, "documents").select(
         "doc_id", text.normalize(F.col("text")).alias("processed_text")
@@ -329,7 +338,9 @@ def ml_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", text.normalize(F.col("text")).alias("PROCESSED_TEXT")
     )
     labels = views.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    scorer = scoring.LearnedScorer.train(documents.join(labels, "doc_id"))
+    learned = scoring.log_odds_lexicon(documents.join(labels, "doc_id"), "PROCESSED_TEXT", "label")
+    # Words of the corpus grow with it, so they are joined.
+    scorer = scoring.LexiconScorer(learned, inline_words=0)
     scored = scorer.score(documents, "PROCESSED_TEXT", "score")
     return scored.select("doc_id", _six("score").alias("score"))
 
@@ -488,6 +499,7 @@ QUERIES: dict[str, Query] = {
         distinct_texts,
         model_input_tokens,
         lexicon_scores,
+        learned_lexicon,
         lexicon_scores_by_join,
         rule_and_lexicon_scores,
         retweet_rule_split,

@@ -53,15 +53,16 @@ def percent_text(score: Column) -> Column:
 def compact_number(count: Column) -> Column:
     """A whole number in two significant digits (half to even) with K, M, B or T.
 
-    From 1e15 on there is no suffix left, and the result is null.
+    There is no suffix beyond T, so that 1e15 shows as 1000T.
     """
     size = F.abs(count.cast("double"))
     digits = F.floor(F.log10(F.greatest(size, F.lit(1.0)))) + 1
     step = F.pow(F.lit(10.0), F.greatest(digits - 2, F.lit(0)))
     rounded = F.bround(count / step, 0) * step
-    power = F.floor(F.log10(F.greatest(F.abs(rounded), F.lit(1.0))) / 3).cast("int")
+    most = len(MAGNITUDES) - 1
+    power = F.least(F.floor(F.log10(F.greatest(F.abs(rounded), F.lit(1.0))) / 3).cast("int"), F.lit(most))
     shown = F.format_string("%.1f", rounded / F.pow(F.lit(1000.0), power))
-    suffix = F.try_element_at(F.array(*(F.lit(m) for m in MAGNITUDES)), power + 1)
+    suffix = F.element_at(F.array(*(F.lit(m) for m in MAGNITUDES)), power + 1)
     return F.when(count.isNotNull(), F.concat(F.regexp_replace(shown, r"\.0$", ""), suffix))
 
 

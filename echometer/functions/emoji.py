@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NATIVE_LIMIT = 24
 TABLE_LIMIT = 20_000
 
 
@@ -35,21 +34,17 @@ def _rough_class(names: dict[str, str], ranges: int = 4) -> str | None:
 
 
 def name_emoji(text: Column, names: dict[str, str]) -> Column:
-    """Replace every emoji of ``names``; a sequence wins over the single emoji inside it.
+    """Replace every emoji of ``names`` in one pass from left to right.
 
-    A short table becomes chained ``replace`` calls. A long one runs in Arrow batches, and texts
-    without any emoji are passed to Python as null, so that only the others are copied.
+    Where several begin at one place the longest wins, and names are not looked at again. Runs in
+    Arrow batches; texts without any emoji are passed to Python as null, so that only the others
+    are copied.
     """
     if not names:
         return text
     if len(names) > TABLE_LIMIT:
         raise ValueError(f"emoji table of {len(names)} entries, at most {TABLE_LIMIT} expected")
     ordered = _longest_first(names)
-    if len(names) <= NATIVE_LIMIT:
-        for emoji in ordered:
-            text = F.replace(text, F.lit(emoji), F.lit(names[emoji]))
-        return text
-
     pattern = "|".join(re.escape(e) for e in ordered)
 
     @F.pandas_udf("string")

@@ -12,15 +12,15 @@ from echometer.functions.emoji import name_emoji
 URL = r"https?://[!$-_a-z]+"
 LEADING_MARK = r"^RT"
 HANDLE_AFTER_AT = r"@[\p{L}\p{N}_]+"
-_MARKS = r".,/#@!¡?¿$%^*;:{}=\-_`~()\"\&"
-PUNCTUATION = _MARKS + "”“"
+PUNCTUATION = r".,/#@!¡?¿$%\^&*;:{}=\-_`~()”“\""
 
 # Every white-space character of Unicode plus the four ASCII separators. The part beyond Latin-1
 # sits inside one range so that a letter is rejected after two tests.
 _SPACE_LATIN = r" \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
 _SPACE_HIGH = r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = f"{_SPACE_LATIN}[\\u1680-\\u3000&&[{_SPACE_HIGH}]]"
-_GAP = f"{_SPACE_LATIN}{_MARKS}[\\u1680-\\u3000&&[{_SPACE_HIGH}”“]]"
+# The same with the punctuation; its two quotes beyond Latin-1 join that range.
+_GAP = f"{_SPACE_LATIN}{PUNCTUATION.replace('”“', '')}[\\u1680-\\u3000&&[{_SPACE_HIGH}”“]]"
 
 # A handle's `@` follows no word character; the `@` is tested first because it is rare.
 MENTION = r"@(?<![A-Za-z0-9_]@)([A-Za-z0-9_]+)"
@@ -58,15 +58,13 @@ def normalize(text: Column, emoji: dict[str, str] | None = None) -> Column:
 
     Equal to the single steps in their order (URLs, emoji, leading mark, handles, punctuation,
     spaces, lower case, ends) in three regex passes: a handle and its ``@`` both end up as a
-    space, and so do punctuation and white space. Texts without URL or handle skip those passes.
+    space, and so do punctuation and white space. Texts without URL skip its pass. Each
+    intermediate text stands once in the expression, so that a plan never repeats it.
     """
     text = F.when(F.contains(text, F.lit("://")), strip_urls(text)).otherwise(text)
     if emoji:
         text = name_emoji(text, emoji)
-    marked = F.contains(text, F.lit("@")) | F.startswith(text, F.lit("RT"))
-    text = F.when(
-        marked, F.regexp_replace(text, f"{LEADING_MARK}|{HANDLE_AFTER_AT}", " ")
-    ).otherwise(text)
+    text = F.regexp_replace(text, f"{LEADING_MARK}|{HANDLE_AFTER_AT}", " ")
     return F.trim(F.lower(F.regexp_replace(text, f"[{_GAP}]+", " ")))
 
 
@@ -77,7 +75,7 @@ def mentions(text: Column) -> Column:
 
 
 def count_at_signs(text: Column) -> Column:
-    return F.regexp_count(text, F.lit("@"))
+    return F.length(text) - F.length(F.replace(text, F.lit("@"), F.lit("")))
 
 
 def cap_tokens(text: Column, most: int = 256) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echometer.functions.clock import post_time
-from echometer.schemas import INTERACTION
 
 
 def is_retweet() -> Column:
@@ -45,8 +44,3 @@ def flatten(posts: DataFrame, ingested_at: Column | None = None) -> DataFrame:
         F.col("in_reply_to_screen_name").alias("REPLY_TO"),
         F.col("lang").alias("LANG"),
     )
-
-
-def in_order(interactions: DataFrame) -> DataFrame:
-    """The interaction columns in their fixed order."""
-    return interactions.select(*INTERACTION.fieldNames())

@@ -43,9 +43,12 @@ class LexiconScorer:
     costly = False
 
     def __init__(self, lexicon: DataFrame, inline_words: int = 100_000):
-        """``lexicon`` has unique ``word`` and ``weight``; small ones travel with the tasks."""
-        self._lexicon = lexicon
-        rows = lexicon.limit(inline_words + 1).collect()
+        """``lexicon`` has ``word`` and ``weight``; small ones travel with the tasks.
+
+        The weights of a word that is listed several times add up.
+        """
+        self._lexicon = lexicon.where("word IS NOT NULL").groupBy("word").agg(F.sum("weight").alias("weight"))
+        rows = self._lexicon.limit(inline_words + 1).collect()
         self._inline = rows if len(rows) <= inline_words else None
 
     def score(self, rows: DataFrame, text: str, out: str) -> DataFrame:
@@ -96,6 +99,27 @@ def _word_weigher(words: Sequence[str], weights: Sequence[float]):
     return weigh
 
 
+def log_odds_lexicon(labelled: DataFrame, text: str, label: str) -> DataFrame:
+    """``word, weight`` learned from texts with a label of 0 or 1, for ``LexiconScorer``.
+
+    The weight of a word is the log of how much likelier it is in texts of label 1, from word counts
+    with one added to each. One aggregate over words with partial sums, so no word is hot.
+    """
+    words = labelled.where(F.col(label).isin(0, 1)).select(
+        F.col(label).alias("_label"), F.explode(F.split(text, " ")).alias("word")
+    )
+    counts = words.groupBy("word").agg(
+        F.count_if(F.col("_label") == 1).alias("_with"), F.count_if(F.col("_label") == 0).alias("_without")
+    )
+    # One row: the words in all texts of each label, and the distinct ones.
+    totals = counts.agg(
+        F.sum("_with").alias("_all_with"), F.sum("_without").alias("_all_without"), F.count(F.lit(1)).alias("_words")
+    )
+    likelihood = (F.col("_with") + 1) / (F.col("_all_with") + F.col("_words"))
+    against = (F.col("_without") + 1) / (F.col("_all_without") + F.col("_words"))
+    return counts.join(F.broadcast(totals)).select("word", F.log(likelihood / against).alias("weight"))
+
+
 class ModelScorer:
     """Sigmoid of the first output of a model that runs in Arrow batches.
 

@@ -10,7 +10,7 @@ from echometer.functions.text import mentions
 from echometer.operators.joins import join_dimension, join_value
 from echometer.session import settled
 
-INLINE_ACCOUNTS = 1_000
+INLINE_ACCOUNTS = 20_000
 
 
 def in_language(posts: DataFrame, language: str | None, column: str = "LANG") -> DataFrame:
@@ -60,7 +60,7 @@ def assign_targets(
     mentioned in the same post. Handles match whole and without regard to case.
 
     The accounts are a constant of the plan, so that one narrow pass decides; a list of more than
-    ``inline_accounts`` is joined instead, which needs ``key`` and a batch frame.
+    ``inline_accounts`` is joined instead, which needs a batch frame. Both give the same rows.
     """
     return _judged(posts, accounts, text, reply, key, inline_accounts).where("_counts").drop("_counts")
 
@@ -85,15 +85,16 @@ def _judged(
     known = _account_columns(accounts)
     rows = known.limit(inline_accounts + 1).collect()
     if len(rows) > inline_accounts:
-        return _judged_by_join(posts, known, text, reply, key)
+        return _judged_by_join(posts, known, text, reply)
     inline = F.broadcast(accounts.sparkSession.createDataFrame(rows, known.schema))
-    tracked = F.split(F.lit(" ".join(sorted({row["_handle"] for row in rows}))), " ")
-    replied = F.lower(reply)
+    # A constant list is looked up by hash, whatever its length.
+    tracked = sorted({row["_handle"] for row in rows})
+    replied = F.lower(F.col(reply))
     fanned = (
         posts.withColumns(
             {
-                "_named": F.array_intersect(mentions(F.col(text)), tracked),
-                "_replied": F.when(F.array_contains(tracked, replied), F.array(replied)).otherwise(_nobody()),
+                "_named": F.filter(mentions(F.col(text)), lambda handle: handle.isin(tracked)),
+                "_replied": F.when(replied.isin(tracked), F.array(replied)).otherwise(_nobody()),
             }
         )
         .withColumn("_handle", F.explode(F.array_union("_named", "_replied")))
@@ -103,28 +104,29 @@ def _judged(
     return fanned.join(inline, "_handle").drop("_handle")
 
 
-def _judged_by_join(
-    posts: DataFrame, accounts: DataFrame, text: str, reply: str, key: str
-) -> DataFrame:
+def _judged_by_join(posts: DataFrame, accounts: DataFrame, text: str, reply: str) -> DataFrame:
     """As ``_judged`` for an account list of any size.
 
-    Pairs of post key and tracked handle are counted per task before they are shuffled, and posts
-    with many copies find their count by broadcast.
+    The rule depends on the set of mentioned handles alone, so sets are judged, not posts: pairs of
+    set digest and tracked handle are counted per task before they are shuffled, and sets that many
+    posts share find their verdict by broadcast.
     """
-    named = posts.select(F.col(key), F.explode(mentions(F.col(text))).alias("_handle"))
+    digest = F.sha2(F.array_join(F.array_sort(mentions(F.col(text))), " "), 256)
+    posts = posts.withColumn("_set", digest)
+    named = posts.select("_set", F.explode(mentions(F.col(text))).alias("_handle"))
     crowded = (
         join_dimension(named, accounts.select("_handle").distinct(), "_handle", "left_semi")
-        .groupBy(key, "_handle")
+        .groupBy("_set", "_handle")
         .agg(F.count(F.lit(1)).alias("_times"))
-        .groupBy(key)
+        .groupBy("_set")
         .agg(F.count(F.lit(1)).alias("_named"), F.sum("_times").alias("_copies"))
         .where(F.col("_named") > 1)
     )
     pairs = directed_at(posts, accounts.withColumnsRenamed({"TARGET": "id", "ACCOUNT": "account"}), text, reply)
     return (
-        join_value(pairs, settled(crowded), key, "_copies")
+        join_value(pairs, settled(crowded), "_set", "_copies")
         .withColumn("_counts", F.col("_named").isNull() | F.col("IS_REPLY"))
-        .drop("_named", "IS_REPLY")
+        .drop("_named", "IS_REPLY", "_set")
     )
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from echometer.functions.clock import post_time
 from echometer.functions.text import normalize
+from echometer.operators.audit import counted
+from echometer.operators.joins import BROADCAST_ROWS
 from echometer.operators.flatten import flatten
 from echometer.operators.relevance import keep_relevant
 from echometer.operators.scoring import Scorer, score_deduplicated, score_with_rule
@@ -17,6 +21,40 @@ from echometer.operators.targets import (
     latest_k,
 )
 from echometer.schemas import FACT, INTERACTION
+from echometer.session import holds_at_most, settled
+
+_ONE_ROW = ["TARGET", "TWEET_ID"]
+# A post's counters only rise by and large, so the copy with the largest ones was taken last.
+_NEWEST_COPY = ["TWEETS_COUNT", "FAVOURITES_COUNT", "FOLLOWERS_COUNT", "FRIENDS_COUNT", "TWEET_TIMESTAMP", "FULL_TEXT"]
+
+
+def usable_posts(posts: DataFrame, counter: str | Observation | None = None) -> DataFrame:
+    """Posts with an id and a readable time; a ``counter`` gets the number of the others as ``unusable``."""
+    usable = F.col("id").isNotNull() & post_time(F.col("created_at")).isNotNull()
+    if counter is not None:
+        posts = counted(posts, counter, F.count_if(~usable).alias("unusable"))
+    return posts.where(usable)
+
+
+def newest_copies(directed: DataFrame) -> DataFrame:
+    """One row per target and post id, the copy with the largest counters.
+
+    Only the repeated keys are gathered first, by a hash aggregate over two columns. If they are few,
+    the rows without copies never move; otherwise all rows are sorted by key.
+    """
+    repeated = settled(
+        directed.groupBy(*_ONE_ROW).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").select(*_ONE_ROW)
+    )
+    first = Window.partitionBy(*_ONE_ROW).orderBy(*(F.desc_nulls_last(name) for name in _NEWEST_COPY))
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
+
+    if not holds_at_most(repeated, BROADCAST_ROWS):
+        return once(directed)
+    keys = F.broadcast(repeated)
+    copies = directed.join(keys, _ONE_ROW, "left_semi")
+    return directed.join(keys, _ONE_ROW, "left_anti").unionByName(once(copies))
 
 
 def directed_posts(
@@ -31,13 +69,13 @@ def directed_posts(
 
     Two options bound a batch pull before the relevance rules. ``stored`` facts leave only posts
     with larger ids than an account has there. ``most_recent`` is the page size of a search
-    service, the newest posts per account; by default nothing is cut off.
+    service, the newest posts per account, copies counted once; by default nothing is cut off.
     """
     assigned = assign_targets(in_language(flatten(posts, ingested_at), language), accounts)
     if stored is not None:
         assigned = after_high_water(assigned, high_water_marks(stored))
     if most_recent is not None:
-        assigned = latest_k(assigned, most_recent)
+        assigned = latest_k(newest_copies(assigned), most_recent)
     return keep_relevant(assigned)
 
 
@@ -79,7 +117,10 @@ def ingest(
     stored: DataFrame | None = None,
     most_recent: int | None = None,
 ) -> DataFrame:
-    """The whole path as one batch; repeated posts of a target are kept once."""
-    directed = directed_posts(posts, accounts, language, ingested_at, stored, most_recent)
-    once = directed.dropDuplicates(["TARGET", "TWEET_ID"])
+    """The whole path as one batch.
+
+    Unusable posts are left out as in the stream, and of a target's copies of a post the newest stays.
+    """
+    directed = directed_posts(usable_posts(posts), accounts, language, ingested_at, stored, most_recent)
+    once = directed if most_recent is not None else newest_copies(directed)
     return add_sentiment(with_processed_text(once, emoji), scorer, deduplicate)

@@ -8,7 +8,6 @@ ACCOUNTS = T.StructType(
 
 EMOJI_NAMES = T.StructType([T.StructField("emoji", T.StringType()), T.StructField("name", T.StringType())])
 
-LEXICON = T.StructType([T.StructField("word", T.StringType()), T.StructField("weight", T.DoubleType())])
 
 _AUTHOR = T.StructType(
     [

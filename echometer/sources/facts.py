@@ -82,23 +82,27 @@ def drop_expired(
 ) -> int:
     """Drop whole partitions older than the retention; returns how many.
 
-    Only partition names are read. Each is dropped by its full specification, which every catalog
-    understands.
+    Partition names come to the driver a bounded number at a time. Each is dropped by its full
+    specification, which every catalog understands.
     """
     day = F.regexp_extract("partition", f"{PARTITION_DAY}=([0-9-]+)", 1)
-    expired = [
-        row["partition"]
-        for row in spark.sql(f"SHOW PARTITIONS {table}")
-        .where(F.try_to_date(day) < days_before(as_of, days))
-        .collect()
-    ]
-    for start in range(0, len(expired), _DROPS_PER_STATEMENT):
-        clauses = ", ".join(
-            "PARTITION (" + ", ".join(f"{k}='{v}'" for k, v in _spec(name)) + ")"
-            for name in expired[start : start + _DROPS_PER_STATEMENT]
-        )
+    names = spark.sql(f"SHOW PARTITIONS {table}").where(F.try_to_date(day) < days_before(as_of, days))
+    dropped, part = 0, []
+    for row in names.toLocalIterator():
+        part.append(row["partition"])
+        if len(part) == _DROPS_PER_STATEMENT:
+            dropped += _drop(spark, table, part)
+            part = []
+    return dropped + _drop(spark, table, part)
+
+
+def _drop(spark: SparkSession, table: str, partitions: list[str]) -> int:
+    clauses = ", ".join(
+        "PARTITION (" + ", ".join(f"{k}='{v}'" for k, v in _spec(name)) + ")" for name in partitions
+    )
+    if clauses:
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {clauses}")
-    return len(expired)
+    return len(partitions)
 
 
 def _spec(partition: str) -> list[tuple[str, str]]:

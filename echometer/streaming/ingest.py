@@ -8,14 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from echometer.functions.clock import not_after_now, post_time
+from echometer.functions.clock import not_after_now
 from echometer.operators.audit import counted
 from echometer.operators.scoring import Scorer
 from echometer.operators.targets import INLINE_ACCOUNTS
-from echometer.plans.ingest import add_sentiment, directed_posts, with_processed_text
-from echometer.schemas import PARTITION_DAY
-from echometer.session import holds_at_most, keeps_old_checkpoints, settled
-from echometer.sources.facts import read_facts, write_batch
+from echometer.plans.ingest import add_sentiment, directed_posts, usable_posts, with_processed_text
+from echometer.session import holds_at_most, keeps_old_checkpoints
+from echometer.sources.facts import write_batch
 
 LATENESS = "2 days"
 COPY_LANES = 16
@@ -41,16 +40,6 @@ def drop_repeats(directed: DataFrame, lateness: str = LATENESS, lanes: int = COP
     return dated.dropDuplicatesWithinWatermark(["TARGET", "TWEET_ID"]).drop("_moment")
 
 
-def not_stored(rows: DataFrame, table: str, most_days: int = 1_000) -> DataFrame:
-    """Rows whose target and id the table lacks on their day; reads those days' keys only."""
-    dated = rows.withColumn(PARTITION_DAY, F.to_date("TWEET_TIMESTAMP"))
-    stored = read_facts(rows.sparkSession, table).select("TARGET", "TWEET_ID", PARTITION_DAY)
-    days = [row[0] for row in dated.select(PARTITION_DAY).distinct().limit(most_days + 1).collect()]
-    if len(days) <= most_days:
-        stored = stored.where(F.col(PARTITION_DAY).isin(days))
-    return dated.join(stored, ["TARGET", "TWEET_ID", PARTITION_DAY], "left_anti").drop(PARTITION_DAY)
-
-
 def start_ingest(
     posts: DataFrame,
     accounts: DataFrame,
@@ -71,27 +60,21 @@ def start_ingest(
     is written under its own name, so that a repeated one replaces its rows.
 
     Posts without id or readable time are counted as unusable and left out. Repeated posts are
-    recognised by state. With too many accounts for a constant of the plan,
-    targets are joined per micro-batch and repeats are looked up in the table instead.
+    recognised by state: the copy that comes first stays. Rows later than ``lateness`` are left out
+    as well; the difference of the counters ``directed`` and ``kept`` holds them and the repeats,
+    and the progress of the state operators tells them apart.
+    The accounts are a constant of the plan, which bounds their number.
     """
-    usable = F.col("id").isNotNull() & post_time(F.col("created_at")).isNotNull()
-    received = counted(posts, "received", F.count_if(~usable).alias("unusable")).where(usable)
-    by_state = holds_at_most(accounts, INLINE_ACCOUNTS)
-    if (scorer.costly or not by_state) and keeps_old_checkpoints(posts.sparkSession):
+    if not holds_at_most(accounts, INLINE_ACCOUNTS):
+        raise ValueError(f"a stream follows at most {INLINE_ACCOUNTS} accounts")
+    if scorer.costly and keeps_old_checkpoints(posts.sparkSession):
         warnings.warn("every micro-batch leaves checkpoint files behind; see session.AT_START", stacklevel=2)
-    if by_state:
-        directed = directed_posts(received, accounts, language)
-        rows, finish = counted(drop_repeats(directed, lateness, lanes), "kept"), None
-    else:
-        rows = received
-
-        def finish(batch: DataFrame) -> DataFrame:
-            once = directed_posts(batch, accounts, language).dropDuplicates(["TARGET", "TWEET_ID"])
-            return not_stored(settled(once), table)
+    directed = counted(directed_posts(usable_posts(posts, "received"), accounts, language), "directed")
+    rows = counted(drop_repeats(directed, lateness, lanes), "kept")
 
     def store(batch: DataFrame, batch_id: int) -> None:
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        fresh = with_processed_text(finish(batch) if finish else batch, emoji)
+        fresh = with_processed_text(batch, emoji)
         if not scorer.costly:
             write_batch(add_sentiment(fresh, scorer), table, f"{run}-{batch_id}")
             return

@@ -1,4 +1,5 @@
 import datetime as dt
+import decimal
 import math
 
 from pyspark.sql import functions as F
@@ -11,11 +12,12 @@ def run(spark, values, function, kind="double"):
     return [r["o"] for r in rows.select("i", function(F.col("v")).alias("o")).orderBy("i").collect()]
 
 
-def python_compact(number):
-    number, power = float(f"{number:.2g}"), 0
-    while abs(number) >= 1000:
-        number, power = number / 1000, power + 1
-    return f"{number:f}".rstrip("0").rstrip(".") + ["", "K", "M", "B", "T"][power]
+def two_digits(number):
+    """Two significant digits, half to even, with the suffix of the power of a thousand."""
+    with decimal.localcontext(prec=2, rounding=decimal.ROUND_HALF_EVEN):
+        shown = +decimal.Decimal(number)
+    group = min(max(shown.adjusted(), 0) // 3, 4) if shown else 0
+    return f"{shown.scaleb(-3 * group).normalize():f}" + " KMBT"[group].strip()
 
 
 def test_compact_number(spark):
@@ -23,8 +25,8 @@ def test_compact_number(spark):
     golden = {0: "0", 7: "7", 155: "160", 999: "1K", 1250: "1.2K", 1350: "1.4K", 995000: "1M", 15000000: "15M"}
     assert run(spark, list(golden), display.compact_number, "bigint") == list(golden.values())
     values = [*range(0, 3000, 7), *(d * 10**p + r for p in range(1, 14) for d in (1, 12, 125, 995) for r in (0, 1) if d * 10**p < 9.9e14)]
-    assert run(spark, values, display.compact_number, "bigint") == [python_compact(v) for v in values]
-    assert run(spark, [10**15, None, -1250], display.compact_number, "bigint") == [None, None, "-1.2K"]
+    assert run(spark, values, display.compact_number, "bigint") == [two_digits(v) for v in values]
+    assert run(spark, [10**15, 2_550_000_000_000_000, None, -1250], display.compact_number, "bigint") == ["1000T", "2600T", None, "-1.2K"]
 
 
 def test_percent_text(spark):

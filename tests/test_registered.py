@@ -3,6 +3,8 @@ import glob
 import pytest
 
 import __spark_entry__ as contract
+from echometer.checks.oracle import ORACLE
+from echometer.checks.queries import QUERIES
 from tests.compare import difference
 
 SF = "/root/testdata/sf0.001"
@@ -16,10 +18,10 @@ def test_entry(spark):
 
 def test_every_sql_has_its_query():
     assert set(contract.oracle_sql()) <= set(contract.queries())
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"ml_scores"}
+    assert set(QUERIES) == set(ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_sql(spark, name):
     df = contract.queries()[name](spark, SF)
     sql = contract.oracle_sql().get(name)

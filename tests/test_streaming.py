@@ -124,14 +124,11 @@ def test_costly_scorer(spark, place):
     assert got == {i: pytest.approx(1 / (1 + np.exp(-(i % 3 + 1)))) for i in range(9)}
 
 
-def test_many_accounts_use_joins_and_the_table(spark, place, monkeypatch):
+def test_too_many_accounts_are_refused(spark, place, monkeypatch):
     monkeypatch.setattr(streaming, "INLINE_ACCOUNTS", 1)
-    rows = [post(i, "@abc_ hola") for i in range(5)]
-    land(place[0] / "in", rows + rows)
-    run(spark, place)
-    land(place[0] / "in", rows + [post(9, "@abc_ y @mixedcase"), post(10, "hola @mixedcase")])
-    run(spark, place)
-    assert stored(spark, place) == [(i, "t1") for i in range(5)] + [(10, "t2")]
+    land(place[0] / "in", [post(1, "@abc_ hola")])
+    with pytest.raises(ValueError, match="at most 1 accounts"):
+        run(spark, place)
 
 
 def test_interval_trigger(spark, place):
