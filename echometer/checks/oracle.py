@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from echometer.checks.views import EMOJI, WEIGHTS
+from echometer.checks.views import EMOJI, EMOJI_TABLE, WEIGHTS
 
 _ACCOUNTS = """
 accounts AS (
@@ -370,7 +370,8 @@ QUALIFY row_number() OVER (PARTITION BY target ORDER BY tweet_id DESC) <= 100
 """,
     "document_mentions": """
 SELECT doc_id, unnest(list_distinct(
-         regexp_extract_all(lower(text), '(^|[^A-Za-z0-9_])@([A-Za-z0-9_]+)', 2))) AS handle
+         regexp_extract_all(lower('cc @' || source || ' (@' || upper(lang) || '), a@b.c ' || text),
+                            '(^|[^A-Za-z0-9_])@([A-Za-z0-9_]+)', 2))) AS handle
 FROM documents
 """,
     "language_filter": "SELECT doc_id, lang FROM documents WHERE lang = 'es'",
@@ -425,6 +426,7 @@ FROM posts
     "interaction_frame": f"WITH {_INGEST} SELECT {_FRAME} FROM kept",
     "batch_ingest": _STORED,
     "fact_roundtrip": _STORED,
+    "compacted_facts": _STORED,
     "stream_ingest": _STORED,
     "retention_drop": f"""
 WITH {_INGEST}
@@ -444,6 +446,22 @@ SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, target,
 FROM spans
 GROUP BY window_start, target
 HAVING window_start + INTERVAL 60 MINUTE <= (SELECT date_trunc('millisecond', max(ts)) FROM events) - INTERVAL 2 DAY
+""",
+    "stream_current_windows": """
+WITH spans AS (
+  SELECT event_type AS target, value / (value + 15.0) AS sentiment,
+         unnest([time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2024-01-01') - to_minutes(15 * k)
+                 for k in [0, 1, 2, 3]]) AS window_start
+  FROM events)
+SELECT window_start, window_start + INTERVAL 60 MINUTE AS window_end, target, count(*) AS responses,
+       round(avg(CASE WHEN sentiment < 0.5 THEN 0 ELSE 1 END) * 100, 6) AS sentiment
+FROM spans GROUP BY window_start, target
+""",
+    "emoji_names_long_table": f"""
+WITH names(place, name) AS (VALUES {", ".join(f"({k}, '{name or code}')" for k, (_, code, name) in enumerate(EMOJI_TABLE))})
+SELECT event_id, 'a ' || a.name || b.name || chr(233) AS named
+FROM events JOIN names a ON event_id % {len(EMOJI_TABLE)} = a.place
+JOIN names b ON event_id // {len(EMOJI_TABLE)} % {len(EMOJI_TABLE)} = b.place
 """,
     "accounts_csv": f"""
 WITH {_ACCOUNTS}

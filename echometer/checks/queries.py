@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from echometer.checks import views
 from echometer.functions import clock, display, text
+from echometer.functions.emoji import name_emoji
 from echometer.operators import audit, relevance, scoring, targets
 from echometer.operators.flatten import flatten
 from echometer.plans import dashboard, ingest
 from echometer.schemas import PARTITION_DAY
 from echometer.session import scratch_path
 from echometer.sources import accounts as account_source
+from echometer.sources import emoji as emoji_source
 from echometer.sources import facts as fact_table
 from echometer.sources.posts import posts_from_text, stream_posts
 from echometer.streaming.ingest import start_ingest
-from echometer.streaming.rolling import rolling_metrics, start_rolling
+from echometer.streaming.rolling import current_windows, rolling_metrics, start_current, start_rolling
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -212,8 +214,9 @@ def latest_k_per_account(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("cc @"), "source", F.lit(" (@"), F.upper("lang"), F.lit("), a@b.c "), "text")
     return views.table(spark, sf_dir, "documents").select(
-        "doc_id", F.explode(text.mentions(F.col("text"))).alias("handle")
+        "doc_id", F.explode(text.mentions(said)).alias("handle")
     )
 
 
@@ -416,6 +419,17 @@ def fact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored(fact_table.read_facts(spark, table))
 
 
+def compacted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rows, written as eight batches of a run and merged twice on the way."""
+    table = _fresh_table(spark)
+    rows = _ingested(spark, sf_dir)
+    for batch in range(8):
+        fact_table.write_batch(rows.where(F.pmod("TWEET_ID", F.lit(8)) == batch), table, f"run-{batch}")
+        if batch in (4, 7):
+            fact_table.compact(spark, table)
+    return _stored(fact_table.read_facts(spark, table))
+
+
 def retention_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _fresh_table(spark)
     fact_table.append(_ingested(spark, sf_dir), table)
@@ -457,6 +471,49 @@ def stream_rolling_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_naive(spark.read.parquet(path)))
 
 
+def stream_current_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows, open ones too, after several micro-batches."""
+    landing, path = scratch_path(spark, "landing"), scratch_path(spark, "current")
+    views.table(spark, sf_dir, "events").repartition(4, "event_id").write.parquet(landing)
+    stream = (
+        spark.readStream.schema(spark.read.parquet(landing).schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(landing)
+        .select(
+            F.col("ts").cast("timestamp").alias("TWEET_TIMESTAMP"),
+            F.col("event_type").alias("TARGET"),
+            (F.col("value") / (F.col("value") + 15.0)).alias("SENTIMENT"),
+        )
+    )
+    metrics = rolling_metrics(stream, lateness="60 days")
+    start_current(metrics, path, scratch_path(spark, "progress")).awaitTermination()
+    return _rounded(_naive(current_windows(spark, path)))
+
+
+def emoji_names_long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two emoji side by side, named by tables read from CSV and folded."""
+    folder = scratch_path(spark, "emoji")
+    rows = [(place, *row) for place, row in enumerate(views.EMOJI_TABLE)]
+    table = spark.createDataFrame(rows, "place int, emoji string, code string, name string")
+    for file, key, name in (("codes", "emoji", "code"), ("local", "code", "name")):
+        named = table.where(F.col(name).isNotNull()).select(F.col(key).alias("emoji"), F.col(name).alias("name"))
+        named.write.option("header", True).csv(f"{folder}/{file}")
+    codes, local = (emoji_source.read_names(spark, f"{folder}/{file}") for file in ("codes", "local"))
+    names = emoji_source.as_mapping(emoji_source.translate_names(codes, local))
+    of = {place: row[0] for place, row in enumerate(views.EMOJI_TABLE)}
+    symbols, many = F.array(*(F.lit(of[k]) for k in range(len(of)))), len(of)
+    said = views.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(
+            F.lit("a "),
+            F.element_at(symbols, (F.col("event_id") % many + 1).cast("int")),
+            F.element_at(symbols, (F.floor(F.col("event_id") / many) % many + 1).cast("int")),
+            F.lit("\u00e9"),
+        ).alias("said"),
+    )
+    return said.select("event_id", name_emoji(F.col("said"), names).alias("named"))
+
+
 def accounts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "accounts")
     rows = views.accounts(spark, sf_dir)
@@ -513,9 +570,12 @@ QUERIES: dict[str, Query] = {
         interaction_frame,
         batch_ingest,
         fact_roundtrip,
+        compacted_facts,
         retention_drop,
         stream_ingest,
         stream_rolling_counts,
+        stream_current_windows,
+        emoji_names_long_table,
         accounts_csv,
     )
 }

@@ -10,6 +10,22 @@ from pyspark.sql import functions as F
 
 EMOJI = {"🥑": "aguacate", "🙄": "cara con los ojos en blanco", "👩‍🚀": "astronauta", "👩": "mujer"}
 
+# Emoji, short code and local name, where there is one: flags that overlap, sequences and their
+# parts, keycaps, variation selectors, and a run of animals.
+EMOJI_TABLE = [
+    ("🇺🇸", ":us:", "estados unidos"),
+    ("🇸🇸", ":south_sudan:", "sudán del sur"),
+    ("🇸🇻", ":el_salvador:", "el salvador"),
+    ("🇪🇸", ":es:", None),
+    ("👩‍🚀", ":woman_astronaut:", "astronauta"),
+    ("👩", ":woman:", "mujer"),
+    ("🚀", ":rocket:", "cohete"),
+    ("1️⃣", ":one:", "uno"),
+    ("❤️", ":red_heart:", "corazón"),
+    ("❤️‍🔥", ":heart_on_fire:", None),
+    *((chr(0x1F400 + k), f":animal_{k}:", f"animal número {k}" if k % 3 else None) for k in range(30)),
+]
+
 WEIGHTS = {
     "hola": 1.0,
     "gracias": 1.5,

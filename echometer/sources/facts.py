@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,10 @@ from echometer.schemas import FACT, PARTITION_BATCH, PARTITION_DAY
 
 RETENTION_DAYS = 2
 _DROPS_PER_STATEMENT = 500
+# Batches of one run are numbered; a merged partition names the last one in it.
+_NUMBERED = re.compile(r"(?P<run>.+)-(?P<number>\d+)")
+_MERGED = re.compile(r"(?P<run>.+)-to-(?P<number>\d+)")
+_PENDING = "pending-"
 
 
 def create_table(spark: SparkSession, table: str) -> None:
@@ -35,8 +43,8 @@ def _laid_out(interactions: DataFrame, batch: str) -> DataFrame:
     """Columns in table order, grouped by day and sorted for row-group pruning.
 
     ``rebalance`` gathers a day's rows into files of the advised size and splits a day that holds
-    most of the rows. That takes adaptive execution, which a stream's session has switched off;
-    there the rows are written by the tasks that hold them, evenly spread by their ids.
+    most of the rows. That takes adaptive execution; without it the rows are written by the tasks
+    that hold them.
     """
     rows = interactions.select(
         *(F.col(field.name).cast(field.dataType) for field in FACT.fields),
@@ -60,7 +68,74 @@ def write_batch(interactions: DataFrame, table: str, batch: str) -> None:
 
 def read_facts(spark: SparkSession, table: str) -> DataFrame:
     """The stored rows with their ``event_date``, which time bounds prune on."""
-    return spark.table(table).drop(PARTITION_BATCH)
+    shown = ~F.startswith(PARTITION_BATCH, F.lit(_PENDING))
+    return spark.table(table).where(shown).drop(PARTITION_BATCH)
+
+
+def compact(spark: SparkSession, table: str) -> int:
+    """Merge the closed batches of each day and run into one partition; returns how many went.
+
+    The last batch of a run is left alone, since it is the only one that can be written again; a batch
+    is closed once a later one of its run is there. The merged rows are first written beside the
+    others under a name that readers skip; then the merged batches are dropped and the name is
+    changed. A compaction that broke off is brought to its end by the next one: a partition
+    is entered in the catalog only when all of it is written. Readers miss a day's merged rows
+    between those last two statements. One compaction may run at a time.
+    """
+    gone = 0
+    for (day, run), numbers in list(_batches(spark, table, pending=True).items()):
+        gone += _swap(spark, table, day, run, max(numbers))
+    newest: dict[str, int] = {}
+    days = _batches(spark, table)
+    for (_, run), numbers in days.items():
+        newest[run] = max(newest.get(run, -1), *(n for n, name in numbers.items() if _NUMBERED.fullmatch(name)), -1)
+    for (day, run), numbers in days.items():
+        closed = {n: name for n, name in numbers.items() if n < newest[run] or _MERGED.fullmatch(name)}
+        if len(closed) < 2:
+            continue
+        last = max(closed)
+        rows = spark.table(table).where(
+            (F.col(PARTITION_DAY) == F.lit(day).cast("date")) & F.col(PARTITION_BATCH).isin(list(closed.values()))
+        )
+        write_batch(rows, table, f"{_PENDING}{run}-to-{last}")
+        gone += _swap(spark, table, day, run, last)
+    return gone
+
+
+def _batches(spark: SparkSession, table: str, pending: bool = False) -> dict[tuple[str, str], dict[int, str]]:
+    """Partition names by day and run, under the number of their (last) batch.
+
+    After a compaction each day has a few for each run, so their number stays bounded by the
+    batches since the last one.
+    """
+    found: dict[tuple[str, str], dict[int, str]] = defaultdict(dict)
+    for day, name in _partitions(spark, table):
+        if name.startswith(_PENDING) != pending:
+            continue
+        name = name.removeprefix(_PENDING)
+        if match := _MERGED.fullmatch(name) or _NUMBERED.fullmatch(name):
+            found[day, match["run"]][int(match["number"])] = name
+    return found
+
+
+def _partitions(spark: SparkSession, table: str) -> Iterator[tuple[str, str]]:
+    for row in spark.sql(f"SHOW PARTITIONS {table}").toLocalIterator():
+        spec = dict(_spec(row["partition"]))
+        yield spec[PARTITION_DAY], spec[PARTITION_BATCH]
+
+
+def _swap(spark: SparkSession, table: str, day: str, run: str, last: int) -> int:
+    """Drop what a pending partition replaces, then give it its name."""
+    replaced = [name for n, name in _batches(spark, table).get((day, run), {}).items() if n <= last]
+    names = [f"{PARTITION_DAY}={day}/{PARTITION_BATCH}={name}" for name in replaced]
+    for start in range(0, len(names), _DROPS_PER_STATEMENT):
+        _drop(spark, table, names[start : start + _DROPS_PER_STATEMENT])
+    merged = f"{run}-to-{last}"
+    spark.sql(
+        f"ALTER TABLE {table} PARTITION ({PARTITION_DAY}='{day}', {PARTITION_BATCH}='{_PENDING}{merged}') "
+        f"RENAME TO PARTITION ({PARTITION_DAY}='{day}', {PARTITION_BATCH}='{merged}')"
+    )
+    return len(names)
 
 
 def kept_rows(

@@ -13,7 +13,7 @@ from echometer.operators.audit import counted
 from echometer.operators.scoring import Scorer
 from echometer.operators.targets import INLINE_ACCOUNTS
 from echometer.plans.ingest import add_sentiment, directed_posts, usable_posts, with_processed_text
-from echometer.session import holds_at_most, keeps_old_checkpoints
+from echometer.session import adaptive, holds_at_most, keeps_old_checkpoints
 from echometer.sources.facts import write_batch
 
 LATENESS = "2 days"
@@ -76,13 +76,16 @@ def start_ingest(
         run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         fresh = with_processed_text(batch, emoji)
         if not scorer.costly:
-            write_batch(add_sentiment(fresh, scorer), table, f"{run}-{batch_id}")
+            # Files by volume, not by the number of state partitions.
+            with adaptive(batch.sparkSession):
+                write_batch(add_sentiment(fresh, scorer), table, f"{run}-{batch_id}")
             return
         # Read twice: for the distinct texts, and for the rows that take their scores.
         fresh = fresh.persist()
         try:
             if not fresh.isEmpty():
-                write_batch(add_sentiment(fresh, scorer), table, f"{run}-{batch_id}")
+                with adaptive(batch.sparkSession):
+                    write_batch(add_sentiment(fresh, scorer), table, f"{run}-{batch_id}")
         finally:
             fresh.unpersist()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,7 +16,7 @@ def rolling_metrics(
     slide: str = "15 minutes",
     lateness: str = "2 days",
 ) -> DataFrame:
-    """Interactions and approval per target and window, each emitted once it is closed.
+    """Interactions and approval per target and window.
 
     A post dated in the future counts as posted now, as it does in the queries over the last
     minutes. Rows are summed per task before they are shuffled, so a target with most of the rows costs
@@ -54,3 +54,34 @@ def start_rolling(
     if interval is None:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=interval).start()
+
+
+def start_current(
+    metrics: DataFrame, path: str, checkpoint: str, interval: str | None = None, name: str = "current"
+) -> StreamingQuery:
+    """Write the windows that each micro-batch has changed, open ones too, as soon as it ends.
+
+    A batch has a folder of its own, which a repeated batch writes again.
+    """
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    writer = (
+        metrics.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .queryName(name)
+    )
+    if interval is None:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=interval).start()
+
+
+def current_windows(spark: SparkSession, path: str) -> DataFrame:
+    """The newest figures of every window and target."""
+    figures = F.struct("responses", "sentiment")
+    newest = spark.read.parquet(path).groupBy("window_start", "window_end", "target").agg(
+        F.max_by(figures, "batch").alias("figures")
+    )
+    return newest.select("window_start", "window_end", "target", "figures.*")
