@@ -59,8 +59,9 @@ def rebalanced(slot_map: dict[int, int], weights: dict[int, int], shards: int) -
     """The next version: slots change places between the heaviest and the lightest shard.
 
     Each edit moves a slot of the heaviest shard, or exchanges it for a slot of the lightest, so that
-    the difference of the two comes closest to zero; the rest of the map stays. It ends when no edit
-    makes the two more equal. ``shards`` may exceed those of the former map.
+    the difference of the two comes closest to zero; the rest of the map stays. A shard that no edit
+    helps, as one slot outweighs the others, is passed over for the next heaviest. It ends when no edit
+    makes any shard and the lightest more equal. ``shards`` may exceed those of the former map.
     """
     edited = dict(slot_map)
     held: list[list[tuple[int, int]]] = [[(0, -1)] for _ in range(shards)]
@@ -71,20 +72,14 @@ def rebalanced(slot_map: dict[int, int], weights: dict[int, int], shards: int) -
         slots.sort()
     loads = [sum(w for w, _ in slots) for slots in held]
     while True:
-        heavy = max(range(shards), key=loads.__getitem__)
         light = min(range(shards), key=loads.__getitem__)
-        gap = loads[heavy] - loads[light]
-        best = (gap, None, None)
-        for given in held[heavy]:
-            # Shifting gap / 2 makes the two equal.
-            at = bisect.bisect_left(held[light], (given[0] - gap / 2, -1))
-            for taken in held[light][max(0, at - 1) : at + 1]:
-                left = abs(gap - 2 * (given[0] - taken[0]))
-                if left < best[0]:
-                    best = (left, given, taken)
-        _, given, taken = best
-        if given is None:
+        for heavy in sorted(range(shards), key=lambda shard: -loads[shard]):
+            edit = _best_exchange(held[heavy], held[light], loads[heavy] - loads[light])
+            if edit is not None:
+                break
+        else:
             return edited
+        given, taken = edit
         for (weight, slot), source, target in ((given, heavy, light), (taken, light, heavy)):
             if slot >= 0:
                 held[source].remove((weight, slot))
@@ -94,6 +89,21 @@ def rebalanced(slot_map: dict[int, int], weights: dict[int, int], shards: int) -
                 edited[slot] = target
 
 
+def _best_exchange(
+    heavy: list[tuple[int, int]], light: list[tuple[int, int]], gap: int
+) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """What to give and to take so that the gap shrinks most; slot -1 of weight 0 stands for nothing."""
+    best, edit = gap, None
+    for given in heavy:
+        # Shifting gap / 2 makes the two equal.
+        at = bisect.bisect_left(light, (given[0] - gap / 2, -1))
+        for taken in light[max(0, at - 1) : at + 1]:
+            left = abs(gap - 2 * (given[0] - taken[0]))
+            if left < best:
+                best, edit = left, (given, taken)
+    return edit
+
+
 def store_map(spark: SparkSession, slot_map: dict[int, int], version: int, folder: str) -> DataFrame:
     """Write one version of the map and read it back."""
     path = f"{folder}/version={version}"
