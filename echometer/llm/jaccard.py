@@ -14,7 +14,7 @@ for again; no link between components is missed, and pairs within a group are ne
    similar sets can differ in shingles, and each part's content is a key, so that similar sets have a part
    in common.
 4. Lists with several components give candidates: first the first document of each component against the
-   first of the list, again while that joins components, then all pairs across components whose sizes
+   first of the list, again while that joins many components, then all pairs across components whose sizes
    allow a link. A parity vector of each set bounds the overlap from above and drops most other pairs. The
    rest are searched in blocks of one document and its candidates.
 
@@ -59,12 +59,12 @@ BUCKETS = 1 << 22
 FREQUENT = 64
 #: Times the mean load of a bucket that a frequent one has at least.
 ABOVE_MEAN = 8
-#: Bits of a parity vector.
-PARITY = 2048
 #: Rows up to which a list of documents is broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 300_000
-#: DivideSkip's parameter for the number of long lists.
-MU = 0.0085
+#: Pairs of first documents per link found up to which they are tried again before all pairs are.
+WORTH_A_ROUND = 4
+#: Share of the least overlap that is left to long lists.
+LONG_SHARE = 0.5
 
 MARKS = T.StructType(
     [
@@ -95,8 +95,13 @@ def _bucket_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
-    """For each of ``PARITY`` buckets whether an odd number of shingles falls into it, in 64-bit words."""
-    bits = np.bincount((tokens >> np.uint64(22) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    """For each of many buckets whether an odd number of shingles falls into it, in 64-bit words.
+
+    There are at least as many buckets as shingles, a power of two: similar sets have as many, or one of
+    them has twice as many, and folding its halves by exclusive or gives the vector of the other length.
+    """
+    buckets = max(64, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else 64
+    bits = np.bincount((tokens >> np.uint64(22) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -175,29 +180,36 @@ def part_keys(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def signature_keys(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Keys of a set; sets similar enough have at least one in common. ``frequent`` is a flag per bucket."""
+def signature_keys(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """Keys of a set, and how many of them are shingles; sets similar enough have at least one in common.
+
+    ``frequent`` is a flag per bucket. Shingles are keys in ascending order: the place of the first one that
+    two sets have in common bounds their overlap.
+    """
     n = len(tokens)
     if not n:
-        return tokens
+        return tokens, 0
     length = n - -(-THRESHOLD[0] * n // THRESHOLD[1]) + 1
     rare = tokens[~frequent[_bucket_of(tokens)]][:length]
-    return rare if len(rare) == length else np.concatenate((rare, part_keys(tokens)))
+    return (rare if len(rare) == length else np.concatenate((rare, part_keys(tokens)))), len(rare)
 
 
 def keyed(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> DataFrame:
-    """``node`` and ``keys`` of every row."""
+    """``node``, ``keys`` and ``n_rare``, the number of shingles among them, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    schema = T.StructType(
+        [T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())),
+         T.StructField("n_rare", T.IntegerType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.zeros(BUCKETS, bool)
         flags[shared.value] = True
         for batch in batches:
-            keys = [signature_keys(shingle_set(d), flags).view(np.int64) for d in common.as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"]
-            )
+            found = [signature_keys(shingle_set(d), flags) for d in common.as_bytes(batch.column(1))]
+            keys = pa.array([k.view(np.int64) for k, _ in found], pa.list_(pa.int64()))
+            n_rare = pa.array([n for _, n in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, n_rare], names=schema.names)
 
     rows = docs.select(common.plain(key).cast("long").alias("doc_id"), common.plain(text).alias("text"))
     return common.map_batches(rows, run, schema)
@@ -221,8 +233,14 @@ class Forest:
         self.parents[max(a, b)] = min(a, b)
 
 
-def search_block(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join all similar sets of a block, by DivideSkip."""
+def _probed(own: np.ndarray, tokens: np.ndarray) -> int:
+    """How many of the lists of ``tokens`` a set is in, by binary search."""
+    places = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+    return int((own[places] == tokens).sum())
+
+
+def search_block(sets: list[np.ndarray], lead: int | None = None) -> list[tuple[int, int]]:
+    """Links that join all similar sets of a block, or all that are similar to ``lead``, by DivideSkip."""
     forest, links = Forest(list(range(len(sets)))), []
     sizes = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
@@ -232,7 +250,8 @@ def search_block(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     ends = np.append(starts[1:], len(tokens))
     heads = tokens[starts]
-    for x, own in enumerate(sets):
+    for x in range(len(sets)) if lead is None else [lead]:
+        own = sets[x]
         lists = np.searchsorted(heads, own)
         lengths = ends[lists] - starts[lists]
         lists = lists[np.argsort(lengths, kind="stable")]
@@ -241,30 +260,26 @@ def search_block(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if len(own) == 0 or (lengths > 1).sum() < least:
             continue
         # More long lists leave less to merge and more to look up.
-        n_long = min(least - 1, int(least / (MU * math.log2(max(2, lengths[-1])) + 1)))
+        n_long = int(LONG_SHARE * (least - 1))
         cut = len(lists) - n_long
         merged = np.concatenate([owners[starts[i] : ends[i]] for i in lists[:cut]])
         candidates, counts = np.unique(merged, return_counts=True)
-        enough = (counts >= least - n_long) & (candidates < x)
+        enough = (counts >= least - n_long) & ((candidates < x) if lead is None else (candidates != x))
         for y, count in zip(candidates[enough].tolist(), counts[enough].tolist()):
             if forest.root(y) == forest.root(x):
                 continue
             required = needed(len(own), int(sizes[y]))
-            left = n_long
-            for i in lists[cut:]:
-                if count + left < required:
-                    break
-                at = starts[i] + np.searchsorted(owners[starts[i] : ends[i]], y)
-                count += int(at < ends[i] and owners[at] == y)
-                left -= 1
-            if count >= required:
+            if count + n_long >= required and count + _probed(sets[y], heads[lists[cut:]]) >= required:
                 forest.join(forest.root(x), forest.root(y))
                 links.append((x, y))
     return links
 
 
-def search_blocks(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
-    """Links (``a``, ``b``) within blocks; ``members`` has (``block``, ``part``, ``node``), distinct."""
+def search_blocks(docs: DataFrame, members: DataFrame, key: str, text: str, led: bool = False) -> DataFrame:
+    """Links (``a``, ``b``) within blocks; ``members`` has (``block``, ``part``, ``node``), distinct.
+
+    In a ``led`` block only links with the node it is named after are looked for.
+    """
     # A short list goes to where the texts are; with a long one the texts are shuffled once more.
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
@@ -274,8 +289,11 @@ def search_blocks(docs: DataFrame, members: DataFrame, key: str, text: str) -> D
     together = placed.repartition(partitions, "block", "part").sortWithinPartitions("block", "part", "node")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def found(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        links = search_block(sets) if len(nodes) > 1 else []
+    def found(block: int | None, nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        links = []
+        if len(nodes) > 1:
+            leads = [k for k, node in enumerate(nodes) if node == block] if led else [None]
+            links = [link for lead in leads for link in search_block(sets, lead)]
         pairs = [(nodes[x], nodes[y]) for x, y in links]
         # Rows with one id are one document.
         pairs = [(a, b) for a, b in pairs if a != b]
@@ -284,19 +302,19 @@ def search_blocks(docs: DataFrame, members: DataFrame, key: str, text: str) -> D
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, nodes, sets, seen = None, [], [], None
+        block, nodes, sets, seen = (None, None), [], [], None
         for batch in batches:
             places = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for place, node, data in zip(places, batch.column(2).to_pylist(), common.as_bytes(batch.column(3))):
                 if place != block:
-                    yield found(nodes, sets)
+                    yield found(block[0], nodes, sets)
                     block, nodes, sets, seen = place, [], [], None
                 if (node, data) == seen:
                     continue
                 seen = (node, data)
                 nodes.append(node)
                 sets.append(shingle_set(data))
-        yield found(nodes, sets)
+        yield found(block[0], nodes, sets)
 
     return common.stored(common.map_batches(together, run, schema), "links")
 
@@ -347,10 +365,16 @@ def _first_pairs(postings: DataFrame) -> DataFrame:
 
 
 def _all_pairs_across(postings: DataFrame) -> DataFrame:
-    """Pairs of a list's documents that are in different components and of sizes that allow a link."""
+    """Pairs of a list's documents in different components, of sizes and places that allow a link.
+
+    The first key that two sets have in common leaves no more for their overlap than comes after it.
+    """
     a, b = postings.alias("a"), postings.alias("b")
+    part, whole = THRESHOLD
+    least = (F.col("a.size") + F.col("b.size")) * part
+    left = [(F.col(f"{x}.size") - F.col(f"{x}.place")) * (part + whole) >= least for x in "ab"]
     return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
-                  & _sizes_allow(F.col("a.size"), F.col("b.size"))).select(
+                  & _sizes_allow(F.col("a.size"), F.col("b.size")) & left[0] & left[1]).select(
         F.col("a.node").alias("a"), F.col("a.size").alias("a_size"),
         F.col("b.node").alias("b"), F.col("b.size").alias("b_size"),
     )
@@ -373,12 +397,16 @@ def _possible(pairs: DataFrame, parities: DataFrame) -> DataFrame:
         vectors = vectors.join(
             parities.select(F.col("node").alias(side), F.col("parity").alias(f"{side}_parity")), side
         )
-    bits = F.aggregate(
-        F.sequence(F.lit(0), F.lit(PARITY // 64 - 1)),
-        F.lit(0),
-        lambda total, i: total
-        + F.bit_count(F.element_at("a_parity", i + 1).bitwiseXOR(F.element_at("b_parity", i + 1))),
-    )
+    words = F.least(F.size("a_parity"), F.size("b_parity"))
+
+    def folded(vector: str) -> Column:
+        halves = F.slice(vector, 1, words), F.slice(vector, words + 1, words)
+        return F.when(F.size(vector) == words, F.col(vector)).otherwise(
+            F.zip_with(*halves, lambda x, y: x.bitwiseXOR(y))
+        )
+
+    differing = F.zip_with(folded("a_parity"), folded("b_parity"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    bits = F.aggregate(differing, F.lit(0), lambda total, x: total + x)
     most = (F.col("a_size") + F.col("b_size")) * (whole - part)
     return vectors.filter(bits * (whole + part) <= most).select("a", "b").distinct()
 
@@ -414,26 +442,30 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # What is left: keys whose documents are in several components.
     frequent = frequent_buckets(marks)
     nodes = _relabelled(classes.select("node", "size"), labels)
-    postings = keyed(docs, frequent, key, text).join(nodes, "node").select(
-        F.explode("keys").alias("key"), "node", F.col("size").cast("int").alias("size"), "component"
+    postings = (
+        keyed(docs, frequent, key, text)
+        .join(nodes, "node")
+        .select(F.posexplode("keys").alias("nth", "key"), "n_rare", "node", F.col("size").cast("int").alias("size"), "component")
+        .withColumn("place", F.when(F.col("nth") < F.col("n_rare"), F.col("nth")).otherwise(0))
+        .drop("nth", "n_rare")
     )
-    postings = common.stored(_several(postings.distinct()), "postings")
+    postings = common.stored(_several(postings), "postings")
     parities = common.stored(classes.select("node", "parity"), "parities")
-    exhausted = False
+    everything = False
     while True:
-        pairs = _all_pairs_across(postings) if exhausted else _first_pairs(postings)
+        pairs = _all_pairs_across(postings) if everything else _first_pairs(postings)
         possible = common.stored(_possible(pairs, parities), "pairs")
-        found = search_blocks(docs, common.stored(_blocks_of_pairs(possible), "blocks"), key, text)
-        any_found = bool(found.limit(1).count())
-        if any_found:
+        found = search_blocks(docs, common.stored(_blocks_of_pairs(possible), "blocks"), key, text, led=True)
+        joined = found.count()
+        if joined:
             links = links.unionByName(found)
             labels = components(links)
-        if exhausted:
+        if everything:
             break
-        if any_found:
+        if joined:
             postings = common.stored(_several(_relabelled(postings, labels)), "postings")
-        else:
-            exhausted = True
+        # First documents alone are worth another round only while a good part of them links.
+        everything = joined * WORTH_A_ROUND < possible.count()
 
     named = rows.join(classes.select("high", "low", "node"), ["high", "low"], "left")
     named = named.select("doc_id", "n_shingles", "node").join(labels, "node", "left")
