@@ -121,13 +121,10 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """Distinct lines with an earlier line one edit away: hash and ``kept``, the earliest such place."""
     halves = lines.select(*LINE, F.explode(_half_keys(F.col("line"), F.col("chars"))).alias("key"))
     sharing = halves.join(_shared_keys(halves), "key", "left_semi").select(*LINE).distinct()
-    # One text for each line that shares a half; its place comes along.
+    # The text of each such line at its first place; places are spread evenly, whatever the copies.
+    chosen = firsts.join(sharing, LINE, "left_semi").select("place")
     candidates = common.stored(
-        lines.join(sharing, LINE, "left_semi")
-        .groupBy(*LINE)
-        .agg(F.min(F.struct("place", "line", "chars")).alias("first"))
-        .select(*LINE, "first.place", "first.line", "first.chars"),
-        "lines-sharing-halves",
+        lines.join(chosen, "place", "left_semi").select(*LINE, "place", "line", "chars"), "lines-sharing-halves"
     )
     cuts = candidates.select(*LINE, "place", F.explode(_block_cuts(F.col("line"), F.col("chars"))).alias("cut")).select(
         *LINE, "place", "cut.*"
