@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
-from itertools import islice
+from itertools import chain, islice
 
 import duckdb
 import numpy as np
@@ -38,11 +38,13 @@ PIECE = 1 << 17
 #: Texts above this many code points are split into words lazily.
 LONG_TEXT = 1 << 20
 #: Words that a worker remembers; at most twice as many while one half replaces the other.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Rows that one recursive query may build up.
 RECURSION_ROWS = 2_000_000
 #: Bytes of new words handled by one recursive query.
 QUERY_BYTES = 1 << 17
+#: Bytes from which on a word is long.
+LONG_WORD = 256
 
 TOKENS = (
     T.StructField("n_tokens", T.LongType()),
@@ -52,30 +54,21 @@ TOKENS = (
 IDS = (T.StructField("ids", T.ArrayType(T.IntegerType())),)
 
 #: ``place`` is the word's number in the upper and the byte's in the lower 32 bits; ``next`` is the
-#: place of the token after it.
+#: place of the token after it. ``{chosen}`` picks the pairs to contract from ``pairs`` and ``lowest``,
+#: which has each word's minimum of rank and then place.
 _CONTRACT = """
 CREATE OR REPLACE TEMP TABLE state AS
 WITH RECURSIVE run(step, place, next, token) AS (
   SELECT 0, place, next, token FROM state
   UNION ALL
   (WITH pairs AS (
-     SELECT a.step, a.place >> 32 AS word, a.place, b.place AS gone, b.next, m.token, m.everywhere
+     SELECT a.place >> 32 AS word, a.place, b.place AS gone, b.next, m.token, m.everywhere,
+            (m.token::BIGINT << 32) | (a.place & 4294967295) AS rank
      FROM run a JOIN run b ON b.place = a.next
      JOIN merges m ON m.pair = (a.token::BIGINT << 32 | b.token)
    ), lowest AS (
-     SELECT word, min(token) AS token FROM pairs GROUP BY word
-   ), hits AS (
-     SELECT pairs.*, row_number() OVER w AS nth,
-            CASE WHEN lag(gone) OVER w = place THEN 0 ELSE 1 END AS starts
-     FROM pairs JOIN lowest USING (word, token)
-     WINDOW w AS (PARTITION BY word ORDER BY place)
-   ), chains AS (
-     SELECT *, sum(starts) OVER (PARTITION BY word ORDER BY place) AS chain FROM hits
-   ), chosen AS (
-     SELECT * FROM chains
-     QUALIFY CASE WHEN everywhere THEN row_number() OVER (PARTITION BY word, chain ORDER BY place) % 2 = 1
-                  ELSE nth = 1 END
-   )
+     SELECT word, min(rank) AS rank FROM pairs GROUP BY word
+   ), {chosen}
    SELECT r.step + 1, r.place, coalesce(c.next, r.next), coalesce(c.token, r.token)
    FROM run r
    SEMI JOIN lowest ON lowest.word = r.place >> 32
@@ -88,6 +81,25 @@ WITH RECURSIVE run(step, place, next, token) AS (
 SELECT run.place, run.next, run.token, run.step FROM run JOIN last ON run.place >> 32 = last.word AND run.step = last.step
 """
 
+#: The leftmost pair of minimum rank.
+_LEFTMOST = "chosen AS (SELECT pairs.* FROM pairs JOIN lowest USING (word, rank))"
+
+#: For long words: all pairs of minimum rank that do not overlap, where that gives the same tokens.
+_EVERYWHERE = """
+  hits AS (
+     SELECT pairs.*, row_number() OVER w AS nth,
+            CASE WHEN lag(gone) OVER w = place THEN 0 ELSE 1 END AS starts
+     FROM pairs JOIN lowest ON pairs.word = lowest.word AND pairs.token = lowest.rank >> 32
+     WINDOW w AS (PARTITION BY pairs.word ORDER BY place)
+   ), chains AS (
+     SELECT *, sum(starts) OVER (PARTITION BY word ORDER BY place) AS chain FROM hits
+   ), chosen AS (
+     SELECT * FROM chains
+     QUALIFY CASE WHEN everywhere THEN row_number() OVER (PARTITION BY word, chain ORDER BY place) % 2 = 1
+                  ELSE nth = 1 END
+   )
+"""
+
 _DECODE = """
 SELECT piece, unhex(string_agg(hex, '' ORDER BY place)) AS data
 FROM (SELECT piece, unnest(ids) AS token, generate_subscripts(ids, 1) AS place FROM encoded)
@@ -147,19 +159,28 @@ class Codec:
         while piece := list(islice(words, PIECE)):
             yield piece
 
-    def encode_words(self, words: Sequence[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        group: list[bytes] = []
-        size = 0
+    def encode_words(self, words: Sequence[str]) -> dict[str, list[int]]:
+        """Token ids of distinct words."""
+        out: dict[str, list[int]] = {}
+        groups: dict[str, list[str]] = {_LEFTMOST: [], _EVERYWHERE: []}
+        sizes = dict.fromkeys(groups, 0)
+
+        def settle(chosen: str) -> None:
+            if groups[chosen]:
+                out.update(zip(groups[chosen], self._contract([w.encode() for w in groups[chosen]], chosen)))
+            groups[chosen], sizes[chosen] = [], 0
+
         for word in words:
-            group.append(data := word.encode())
-            size += len(data)
-            if size >= QUERY_BYTES:
-                out += self._contract(group)
-                group, size = [], 0
-        return out + (self._contract(group) if group else [])
-
-    def _contract(self, words: list[bytes]) -> list[list[int]]:
+            chosen = _LEFTMOST if len(word) * 4 < LONG_WORD else _EVERYWHERE
+            groups[chosen].append(word)
+            sizes[chosen] += len(word)
+            if sizes[chosen] >= QUERY_BYTES:
+                settle(chosen)
+        for chosen in groups:
+            settle(chosen)
+        return out
+
+    def _contract(self, words: list[bytes], chosen: str) -> list[list[int]]:
         lengths = np.array([len(w) for w in words], np.int64)
         inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         places = (np.repeat(np.arange(len(words)), lengths) << 32) | inside
@@ -168,11 +189,12 @@ class Codec:
         steps = max(4, RECURSION_ROWS // len(places))
         done = False
         while not done:
-            self.db.execute(_CONTRACT.format(steps=steps))
+            self.db.execute(_CONTRACT.format(steps=steps, chosen=chosen))
             done = self.db.execute("SELECT max(step) FROM state").fetchone()[0] < steps
         found = self.db.execute("SELECT place >> 32 AS word, token FROM state ORDER BY place").fetchnumpy()
         ends = np.searchsorted(np.asarray(found["word"]), np.arange(1, len(words)))
-        return [part.tolist() for part in np.split(np.asarray(found["token"]), ends)]
+        tokens = np.asarray(found["token"]).tolist()
+        return [tokens[i:j] for i, j in zip([0, *ends.tolist()], [*ends.tolist(), len(tokens)])]
 
     def encode(self, pieces: list[list[str]]) -> list[list[int]]:
         """Token ids of each piece of words."""
@@ -187,8 +209,8 @@ class Codec:
                     unknown.append(word)
                 else:
                     known[word] = ids
-        known.update(zip(unknown, self.encode_words(unknown)))
-        return [[i for word in piece for i in known[word]] for piece in pieces]
+        known.update(self.encode_words(unknown))
+        return [list(chain.from_iterable(map(known.__getitem__, piece))) for piece in pieces]
 
     def decode(self, pieces: list[list[int]]) -> list[bytes]:
         """Bytes of each piece of token ids."""
