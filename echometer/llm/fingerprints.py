@@ -119,7 +119,7 @@ class Prefixes:
         )
 
     def spans(self, width: int) -> np.ndarray:
-        """Mixed hash of every span of ``width`` code points; of the whole text if it is shorter."""
+        """Mixed 32-bit hash of every span of ``width`` code points; of the whole text if it is shorter."""
         width = min(width, len(self))
         count = len(self) - width + 1 if width else 0
         mixed = np.zeros(count, np.uint64)
@@ -127,7 +127,8 @@ class Prefixes:
             values = _reduced(_reduced(array[width:] - array[:-width] + PRIME) * powers.get(1, count)) if count else mixed
             mixed = (mixed << np.uint64(31)) | values.astype(np.uint64)
         mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (mixed >> np.uint64(32)).astype(np.uint32)
 
 
 def common_prefix(a: Prefixes, b: Prefixes) -> int:
@@ -159,7 +160,7 @@ def sketch(prefixes: Prefixes, size: int = SKETCH, width: int = SPAN) -> np.ndar
     spans = prefixes.spans(width)
     if len(spans) > 8 * size:
         # Enough values lie below this bound, unless many spans repeat.
-        few = np.unique(spans[spans < np.uint64(2**64 * 4 * size // len(spans))])
+        few = np.unique(spans[spans < np.uint32(2**32 * 4 * size // len(spans))])
         if len(few) >= size:
             return few[:size]
     return np.unique(spans)[:size]
@@ -167,7 +168,7 @@ def sketch(prefixes: Prefixes, size: int = SKETCH, width: int = SPAN) -> np.ndar
 
 def fingerprint(prefixes: Prefixes, smallest: np.ndarray) -> str:
     whole = "".join(f"{int(a[-1]):08x}" for a in prefixes.arrays)
-    return f"{len(prefixes):x}-{whole}-{smallest.astype('>u8').tobytes().hex()}"
+    return f"{len(prefixes):x}-{whole}-{smallest.astype('>u4').tobytes().hex()}"
 
 
 def _likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
@@ -182,7 +183,7 @@ def likeness(one: str, other: str, size: int = SKETCH) -> float:
     """Likeness of two fingerprints: 1 for equal texts, else the estimated share of common spans."""
     if one == other:
         return 1.0
-    a, b = (np.frombuffer(bytes.fromhex(x.rpartition("-")[2]), ">u8").astype(np.uint64) for x in (one, other))
+    a, b = (np.frombuffer(bytes.fromhex(x.rpartition("-")[2]), ">u4").astype(np.uint32) for x in (one, other))
     return _likeness(a, b, size) if len(a) and len(b) else 0.0
 
 
