@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from echometer.llm import common
 
 #: Most labelled rows that the model is fitted on.
-SAMPLE = 2000
+SAMPLE = 1000
 #: Buckets of hashed n-grams.
 DIMENSIONS = 1 << 14
 #: Centroids per language.
@@ -154,7 +154,10 @@ def fit(sample: DataFrame, clusters: int = CLUSTERS) -> Model:
     for vector, buckets, numbers in zip(counts, rows["buckets"], rows["counts"]):
         vector[buckets] = numbers
     idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    vectors = _unit(np.log1p(counts) * idf)
+    # In place: the matrix is the largest thing that the driver holds.
+    vectors = np.log1p(counts, out=counts)
+    vectors *= idf
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     centroids, languages = [np.zeros((0, DIMENSIONS), np.float32)], []
     labels = rows["lang"].to_numpy()
     for lang in sorted(set(labels)):
