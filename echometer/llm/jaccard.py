@@ -465,7 +465,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         if joined:
             postings = common.stored(_several(_relabelled(postings, labels)), "postings")
         # First documents alone are worth another round only while a good part of them links.
-        everything = joined * WORTH_A_ROUND < possible.count()
+        everything = joined == 0 or joined * WORTH_A_ROUND < possible.count()
 
     named = rows.join(classes.select("high", "low", "node"), ["high", "low"], "left")
     named = named.select("doc_id", "n_shingles", "node").join(labels, "node", "left")

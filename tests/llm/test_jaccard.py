@@ -100,6 +100,36 @@ def test_edges(edges, nothing):
     assert jaccard.similar_groups(nothing).count() == 0
 
 
+@pytest.fixture
+def few_rounds(monkeypatch):
+    calls, pairs = [], jaccard._first_pairs
+
+    def counted(postings):
+        calls.append(1)
+        assert len(calls) < 5, "rounds of first documents without an end"
+        return pairs(postings)
+
+    monkeypatch.setattr(jaccard, "_first_pairs", counted)
+
+
+def test_ends_without_candidates(spark, nothing, few_rounds):
+    assert jaccard.similar_groups(nothing).count() == 0
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(20))) for i in range(4)]
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_only_later_documents_of_a_list_link(spark, few_rounds):
+    words = [f"w{k}" for k in range(60)]
+    least = shingle_set(" ".join(words).encode())[0]
+    changed = ([*words[:k], "new", *words[k + 1 :]] for k in range(60))
+    other = next(w for w in changed if shingle_set(" ".join(w).encode())[0] != least)
+    # Every shingle that the two have in common is first in a text of its own, far too short to link with them.
+    rows = [(k, " ".join(words[k : k + 5])) for k in range(56)] + [(100, " ".join(words)), (101, " ".join(other))]
+    expected = brute(rows)
+    assert expected[101][1] == 100
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string")) == expected
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 100), (5, 5)]
     labels = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
