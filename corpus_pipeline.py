@@ -20,6 +20,9 @@ from pyspark.sql import functions as F
 
 from echometer.llm import bpe, common, decontaminate, jaccard, language, lines
 
+#: A character that is no white space, in Unicode and for Python's ``strip``.
+NOT_BLANK = r"(?U)[^\s\x1C-\x1F]"
+
 
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*common.DOCUMENT_COLUMNS)
@@ -35,7 +38,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     docs = _columns(docs)
     found = lines.with_dropped(docs)
     text = lines.without_lines(F.col("document.text"), F.col("dropped"))
-    left = found.withColumn("text", text).filter("dropped IS NULL OR trim(text) <> ''")
+    left = found.withColumn("text", text).filter(F.col("dropped").isNull() | F.col("text").rlike(NOT_BLANK))
     return left.select(
         "document.doc_id",
         "text",

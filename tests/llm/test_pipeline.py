@@ -45,6 +45,15 @@ def test_stages_equal_brute_force(spark, tables):
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, tokens.collect()))
 
 
+def test_copies_with_blank_lines_go(spark):
+    text = "The first paragraph of a text.\n\nThe second paragraph of it.\n\t\n\u3000\nThe third and last paragraph.\n"
+    rows = [(1, text), (2, text), (3, text + "new"), (4, "\n\n"), (5, "\n\n")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = pairs(corpus_pipeline.drop_repeated_lines(spark, docs, ""))
+    # Blank lines are never dropped, so blank documents lose no line.
+    assert left == [(1, text), (3, "\n\t\n\u3000\nnew"), (4, "\n\n"), (5, "\n\n")]
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_edges(spark, edges, nothing, tables, tmp_path, empty):
     shutil.copy(f"{tables}/benchmark.parquet", tmp_path / "benchmark.parquet")
