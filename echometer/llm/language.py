@@ -3,7 +3,12 @@
 A text becomes a hashed vector of its letter bigrams and trigrams (lower case, everything else one
 space), weighted by inverse document frequency and brought to length one. The labelled training rows of
 each language are clustered by cosine into a few centroids. A text gets the language of the nearest
-centroid; the cosine is its score, and a text too far from every centroid is rejected.
+centroid; the cosine is its score, and a text too far from its nearest centroid is rejected.
+
+How far is too far is learned for each language from its labelled rows: their cosines with its centroids, each
+row left out of its own centroid. Short texts have lower cosines, so the rows are also cut to a few lengths, and
+a text is held to the bound of the largest of these that it has. Texts shorter than the first are held to
+``MIN_COSINE`` alone: a few letters don't tell a language from noise.
 
 The model is fitted on a bounded sample of the labelled rows: at most ``SAMPLE`` rows, shared evenly among
 the languages, those with the smallest hashes of their ids. What reaches the driver are the n-gram counts of
@@ -17,8 +22,8 @@ inside ``document``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -36,8 +41,15 @@ DIMENSIONS = 1 << 14
 #: Centroids per language.
 CLUSTERS = 3
 ROUNDS = 10
-#: Cosine to the nearest centroid below which a text is rejected.
+#: Cosine to the nearest centroid below which a text of any length is rejected.
 MIN_COSINE = 0.05
+#: Numbers of n-grams, about twice as many as characters, that rows are cut to.
+LENGTHS = tuple(1 << k for k in range(5, 14))
+#: Share of a language's rows below the cosine that its bound starts from, and the share of it that a text needs.
+LOW_QUANTILE = 0.02
+LENIENCE = 0.6
+#: Rows that a quantile of one language needs; with fewer those of all languages serve.
+FEW_ROWS = 8
 #: Distinct labels that a model may have.
 MAX_LANGUAGES = 1000
 
@@ -54,6 +66,10 @@ GRAMS = (
     T.StructField("counts", T.ArrayType(T.IntegerType())),
 )
 
+COSINES = T.StructType(
+    [T.StructField("lang", T.StringType()), T.StructField("cosines", T.ArrayType(T.DoubleType()))]
+)
+
 _SPACE = 32
 
 
@@ -78,7 +94,9 @@ def grams(text: str) -> np.ndarray:
     first, second = padded[:-1].astype(np.uint64), padded[1:].astype(np.uint64)
     pairs = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
     triples = pairs[:-1] * np.uint64(0xD6E8FEB86659FD93) + second[1:] * np.uint64(0x165667B19E3779F9)
-    mixed = np.concatenate((pairs, triples))
+    mixed = np.empty(len(pairs) + len(triples), np.uint64)
+    # In the order of the text, so that a first part of the n-grams is a first part of the text.
+    mixed[::2], mixed[1::2] = pairs, triples
     return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)).astype(np.int64)
 
 
@@ -87,6 +105,8 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     languages: tuple[str, ...]
+    #: Least cosine by centroid and, below ``LENGTHS``, at each of them.
+    bounds: np.ndarray | None = None
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -94,17 +114,20 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _centroids(rows: np.ndarray, clusters: int) -> np.ndarray:
-    """Spherical k-means from the row nearest the mean and, each time, the row farthest from all chosen."""
+def _centroids(rows: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spherical k-means from the row nearest the mean and, each time, the row farthest from all chosen.
+
+    Centres of length one, and the lengths of the sums of rows that they are.
+    """
     chosen = [int(np.argmax(rows @ rows.mean(axis=0)))]
     while len(chosen) < min(clusters, len(rows)):
         chosen.append(int(np.argmin((rows @ rows[chosen].T).max(axis=1))))
-    centres = rows[chosen]
+    centres = sums = rows[chosen]
     for _ in range(ROUNDS):
         nearest = np.argmax(rows @ centres.T, axis=1)
         sums = np.stack([rows[nearest == k].sum(axis=0) if (nearest == k).any() else c for k, c in enumerate(centres)])
         centres = _unit(sums)
-    return centres
+    return centres, np.linalg.norm(sums, axis=1)
 
 
 def held_out(key: Column) -> Column:
@@ -147,6 +170,8 @@ def _count_grams() -> Callable[[pa.Array], Sequence[pa.Array]]:
 
 def fit(sample: DataFrame, clusters: int = CLUSTERS) -> Model:
     """Learn from a bounded sample; its n-gram counts come to the driver."""
+    # Read twice: for the centroids, and for the rows' cosines with them.
+    sample = common.stored(sample.select("lang", "text", "place"), "language-sample")
     counted = common.annotate(sample, _count_grams, GRAMS, ["lang", "place"])
     rows = counted.select("document.lang", "document.place", "buckets", "counts").filter(F.size("buckets") > 0)
     rows = rows.toPandas().sort_values(["lang", "place"], kind="stable")
@@ -158,12 +183,85 @@ def fit(sample: DataFrame, clusters: int = CLUSTERS) -> Model:
     vectors = np.log1p(counts, out=counts)
     vectors *= idf
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
-    centroids, languages = [np.zeros((0, DIMENSIONS), np.float32)], []
+    centroids, norms, languages = [np.zeros((0, DIMENSIONS), np.float32)], [np.zeros(0)], []
     labels = rows["lang"].to_numpy()
     for lang in sorted(set(labels)):
-        centroids.append(_centroids(vectors[labels == lang], clusters))
-        languages += [lang] * len(centroids[-1])
-    return Model(idf, np.concatenate(centroids), tuple(languages))
+        centres, lengths = _centroids(vectors[labels == lang], clusters)
+        centroids.append(centres)
+        norms.append(lengths)
+        languages += [lang] * len(centres)
+    model = Model(idf, np.concatenate(centroids), tuple(languages))
+    return replace(model, bounds=_bounds(model, _own_cosines(sample, model, np.concatenate(norms))))
+
+
+def _own_cosines(sample: DataFrame, model: Model, norms: np.ndarray) -> list[tuple[str, list[float]]]:
+    """Language of every row and its cosine with the nearest centroid of it, cut to each of ``LENGTHS`` it has.
+
+    The row itself is taken out of the centroid that it is part of.
+    """
+    shared = sample.sparkSession.sparkContext.broadcast((model, norms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, norms = shared.value
+        places: dict[str, list[int]] = {}
+        for k, lang in enumerate(model.languages):
+            places.setdefault(lang, []).append(k)
+
+        def unit(found: np.ndarray) -> np.ndarray:
+            return _unit(np.log1p(np.bincount(found, minlength=DIMENSIONS).astype(np.float32)) * model.idf)
+
+        for batch in batches:
+            out = []
+            for lang, text in zip(batch.column(0).to_pylist(), common.as_strings(batch.column(1))):
+                found = grams(text)
+                whole, own = unit(found), places.get(lang, [])
+                centres = model.centroids[own]
+                near = centres @ whole
+                at = int(np.argmax(near)) if own else 0
+                cosines = []
+                for length in LENGTHS if own else ():
+                    if len(found) < length:
+                        break
+                    part = unit(found[:length])
+                    others = centres @ part
+                    norm = float(norms[own[at]])
+                    left = np.sqrt(max(0.0, norm * norm - 2 * norm * float(near[at]) + 1))
+                    others[at] = (norm * others[at] - whole @ part) / left if left > 1e-3 else 0
+                    cosines.append(float(others.max()))
+                out.append((lang, cosines))
+            columns = [pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=COSINES.names)
+
+    rows = common.map_batches(sample.select("lang", "text"), run, COSINES).collect()
+    return [(row["lang"], row["cosines"]) for row in rows]
+
+
+def _bounds(model: Model, cosines: list[tuple[str, list[float]]]) -> np.ndarray:
+    """Least cosine by centroid and length: from its language's rows, else of a shorter length, else of all rows."""
+
+    def low(values: list[float]) -> float | None:
+        return LENIENCE * float(np.quantile(values, LOW_QUANTILE)) if len(values) >= FEW_ROWS else None
+
+    own: dict[str, list[list[float]]] = {}
+    everyone: list[list[float]] = [[] for _ in LENGTHS]
+    for lang, found in cosines:
+        lists = own.setdefault(lang, [[] for _ in LENGTHS])
+        for k, cosine in enumerate(found):
+            lists[k].append(cosine)
+            everyone[k].append(cosine)
+    bounds = np.zeros((len(model.languages), len(LENGTHS) + 1))
+    shared = list(map(low, everyone))
+    learned: dict[str, list[float]] = {}
+    for lang, lists in own.items():
+        last = last_shared = None
+        learned[lang] = [0.0]
+        for k, values in enumerate(lists):
+            last = last if (bound := low(values)) is None else bound
+            last_shared = last_shared if shared[k] is None else shared[k]
+            learned[lang].append(next((x for x in (last, last_shared) if x is not None), 0.0))
+    for k, lang in enumerate(model.languages):
+        bounds[k] = learned[lang]
+    return bounds
 
 
 def predict(
@@ -177,12 +275,13 @@ def predict(
         columns = np.ascontiguousarray(model.centroids.T)
 
         def run(texts: pa.Array) -> Sequence[pa.Array]:
-            names, scores = [], []
+            names, scores, bounds = [], [], []
             for text in common.as_strings(texts):
                 found = grams(text)
                 if not len(found) or not model.languages:
                     names.append(UNKNOWN)
                     scores.append(0.0)
+                    bounds.append(min_cosine)
                     continue
                 counts = np.bincount(found, minlength=DIMENSIONS).astype(np.float32)
                 used = counts.nonzero()[0]
@@ -191,7 +290,9 @@ def predict(
                 best = int(np.argmax(cosines))
                 names.append(model.languages[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
-            far = [n == UNKNOWN or s < min_cosine for n, s in zip(names, scores)]
+                learned = 0.0 if model.bounds is None else model.bounds[best, np.searchsorted(LENGTHS, len(found), "right")]
+                bounds.append(max(min_cosine, learned))
+            far = [n == UNKNOWN or s < least for n, s, least in zip(names, scores, bounds)]
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())]
 
         return run

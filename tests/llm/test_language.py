@@ -1,3 +1,9 @@
+import base64
+import random
+import string
+
+import pytest
+
 from echometer.llm import language
 
 LANGS = {"en": "the cat and the dog were there with thin thread ", "fr": "le chien est à côté de la forêt élevée ", "xx": "zzk qqj wwx "}
@@ -44,3 +50,36 @@ def test_query_on_held_out_rows(spark, tables):
     assert rows.count() == docs.count() and len(held) > 20
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
     assert not any(r.rejected for r in held)
+
+
+ITALIAN = (
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza "
+    "e devono agire gli uni verso gli altri in spirito di fratellanza. Ad ogni individuo spettano tutti i diritti e "
+    "tutte le libertà enunciate nella presente Dichiarazione, senza distinzione alcuna, per ragioni di razza, di "
+    "colore, di sesso, di lingua, di religione, di opinione politica o di altro genere."
+)
+FINNISH = (
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja "
+    "omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin tässä "
+    "julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun, väriin tai sukupuoleen perustuvaa erotusta."
+)
+
+
+def test_rejects_noise_and_other_languages_of_the_script(spark, tables):
+    docs = spark.read.parquet(f"{tables.replace('sf0.001', 'sf0.01')}/documents.parquet").select("doc_id", "lang", "text")
+    model = language.fit(language.training_sample(docs))
+    rng = random.Random(5)
+    bad = [ITALIAN, FINNISH, rng.randbytes(400).hex()]
+    bad += ["".join(rng.choice(string.ascii_lowercase + " ") for _ in range(n)) for n in (200, 400, 4000)]
+    bad += [base64.b64encode(rng.randbytes(n)).decode() for n in (200, 400, 4000)]
+    rows = spark.createDataFrame(list(enumerate(bad)), "doc_id long, text string")
+    kept = [(r.document.text[:30], r.score) for r in language.predict(rows, model).filter("NOT rejected").collect()]
+    assert not kept
+    held = language.predict(docs.filter(language.held_out(docs.doc_id)), model).collect()
+    assert len(held) > 200 and sum(r.rejected for r in held) <= 0.01 * len(held)
+
+
+@pytest.mark.parametrize("rows", [[], [("a", [])], [("a", [0.5] * 3)] * 7])
+def test_few_rows_bound_nothing(rows):
+    model = language.Model(None, None, ("a",) if rows else ())
+    assert not language._bounds(model, rows).any()
