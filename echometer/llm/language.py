@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from echometer.llm import common
 
 #: Most labelled rows that the model is fitted on.
-SAMPLE = 1000
+SAMPLE = 2000
 #: Buckets of hashed n-grams.
 DIMENSIONS = 1 << 14
 #: Centroids per language.
@@ -125,7 +125,9 @@ def _centroids(rows: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]
     centres = sums = rows[chosen]
     for _ in range(ROUNDS):
         nearest = np.argmax(rows @ centres.T, axis=1)
-        sums = np.stack([rows[nearest == k].sum(axis=0) if (nearest == k).any() else c for k, c in enumerate(centres)])
+        # A product with flags: picking a cluster's rows would copy them.
+        flags = (nearest == np.arange(len(centres))[:, None]).astype(np.float32)
+        sums = np.where(flags.any(axis=1, keepdims=True), flags @ rows, centres)
         centres = _unit(sums)
     return centres, np.linalg.norm(sums, axis=1)
 
@@ -175,18 +177,18 @@ def fit(sample: DataFrame, clusters: int = CLUSTERS) -> Model:
     counted = common.annotate(sample, _count_grams, GRAMS, ["lang", "place"])
     rows = counted.select("document.lang", "document.place", "buckets", "counts").filter(F.size("buckets") > 0)
     rows = rows.toPandas().sort_values(["lang", "place"], kind="stable")
-    counts = np.zeros((len(rows), DIMENSIONS), np.float32)
-    for vector, buckets, numbers in zip(counts, rows["buckets"], rows["counts"]):
-        vector[buckets] = numbers
-    idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    # In place: the matrix is the largest thing that the driver holds.
-    vectors = np.log1p(counts, out=counts)
-    vectors *= idf
-    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    # Counts stay sparse; only one language's rows are a matrix at a time.
+    seen = np.zeros(DIMENSIONS, np.int64)
+    for buckets in rows["buckets"]:
+        seen[buckets] += 1
+    idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(1)
     centroids, norms, languages = [np.zeros((0, DIMENSIONS), np.float32)], [np.zeros(0)], []
-    labels = rows["lang"].to_numpy()
-    for lang in sorted(set(labels)):
-        centres, lengths = _centroids(vectors[labels == lang], clusters)
+    for lang, own in rows.groupby("lang"):
+        vectors = np.zeros((len(own), DIMENSIONS), np.float32)
+        for vector, buckets, numbers in zip(vectors, own["buckets"], own["counts"]):
+            weights = np.log1p(numbers.astype(np.float32)) * idf[buckets]
+            vector[buckets] = weights / np.linalg.norm(weights)
+        centres, lengths = _centroids(vectors, clusters)
         centroids.append(centres)
         norms.append(lengths)
         languages += [lang] * len(centres)

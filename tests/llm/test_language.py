@@ -83,3 +83,12 @@ def test_rejects_noise_and_other_languages_of_the_script(spark, tables):
 def test_few_rows_bound_nothing(rows):
     model = language.Model(None, None, ("a",) if rows else ())
     assert not language._bounds(model, rows).any()
+
+
+def test_a_matrix_holds_one_language_only(spark, monkeypatch):
+    shapes, centroids = [], language._centroids
+    monkeypatch.setattr(language, "_centroids", lambda rows, k: shapes.append(len(rows)) or centroids(rows, k))
+    docs = spark.range(8000).selectExpr("id doc_id", "concat('text ', id) text", "concat('l', id % 4) lang")
+    sample = language.training_sample(docs)
+    assert sample.count() == 2000
+    assert language.fit(sample).languages == tuple(f"l{k // 3}" for k in range(12)) and shapes == [500] * 4
