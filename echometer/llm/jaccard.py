@@ -35,6 +35,7 @@ component. An empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -55,6 +56,8 @@ THRESHOLD = (75, 100)
 BLOCK = 256
 #: Buckets of the frequency sketch.
 BUCKETS = 1 << 22
+#: Buckets whose counts a task reports as one row.
+PAGE = 1 << 14
 #: Documents with a shingle of the bucket from which on it counts as frequent, at least.
 FREQUENT = 64
 #: Times the mean load of a bucket that a frequent one has at least.
@@ -74,13 +77,13 @@ MARKS = T.StructType(
         T.StructField("low", T.LongType()),
         T.StructField("least", T.LongType()),
         T.StructField("parity", T.ArrayType(T.LongType())),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("load", T.LongType()),
+        T.StructField("page", T.IntegerType()),
+        T.StructField("loads", T.BinaryType()),
     ]
 )
 _ARROW_MARKS = pa.schema(
     [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("high", pa.int64()), ("low", pa.int64()),
-     ("least", pa.int64()), ("parity", pa.list_(pa.int64())), ("bucket", pa.int32()), ("load", pa.int64())]
+     ("least", pa.int64()), ("parity", pa.list_(pa.int64())), ("page", pa.int32()), ("loads", pa.binary())]
 )
 
 
@@ -110,28 +113,29 @@ def _signed(value: int) -> int:
 
 
 def mark(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A stored row per document (size, digest, smallest shingle, parity), and per loaded bucket of each task."""
+    """A stored row per document (size, digest, smallest shingle, parity), and per loaded page of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loads, total = np.zeros(BUCKETS, np.int32), 0
+        loads = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             rows = []
             for data in common.as_bytes(batch.column(1)):
                 tokens = shingle_set(data)
                 loads[_bucket_of(tokens)] += 1
-                total += len(tokens)
                 digest = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 least = int(tokens[0]) if len(tokens) else 0
                 rows.append((len(tokens), _signed(digest >> 64), _signed(digest & (1 << 64) - 1),
                              _signed(least), _parity(tokens), None, None))
             columns = [batch.column(0), *(list(x) for x in zip(*rows))] if rows else [[] for _ in _ARROW_MARKS]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_MARKS)], schema=_ARROW_MARKS)
-        loaded = np.flatnonzero(loads >= max(8, ABOVE_MEAN * total // BUCKETS))
-        for part in np.array_split(loaded, max(1, -(-len(loaded) // 10_000))):
+        pages = loads.reshape(-1, PAGE)
+        for part in np.array_split(np.flatnonzero(pages.any(axis=1)), 8):
+            # As narrow as the largest count allows.
+            packed = [zlib.compress(pages[k].astype(np.min_scalar_type(pages[k].max())).tobytes(), 1) for k in part]
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, none, none, pa.nulls(len(part), pa.list_(pa.int64())), pa.array(part, pa.int32()),
-                 pa.array(loads[part], pa.int64())], schema=_ARROW_MARKS,
+                 pa.array(packed, pa.binary())], schema=_ARROW_MARKS,
             )
 
     rows = docs.select(common.plain(key).cast("long").alias("doc_id"), common.plain(text).alias("text"))
@@ -141,9 +145,23 @@ def mark(docs: DataFrame, key: str, text: str) -> DataFrame:
 def frequent_buckets(marks: DataFrame) -> np.ndarray:
     """Buckets of frequent shingles: at most one in ``ABOVE_MEAN``, whatever the corpus."""
     total = marks.agg(F.sum("n_shingles")).first()[0] or 0
-    loads = marks.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("load").alias("load"))
     enough = max(FREQUENT, ABOVE_MEAN * total // BUCKETS)
-    return loads.filter(F.col("load") >= enough).select("bucket").toPandas()["bucket"].to_numpy(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for page, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                data = zlib.decompress(packed)
+                counts = np.frombuffer(data, f"u{len(data) // PAGE}")
+                sums[page] = sums.get(page, 0) + counts.astype(np.int64)
+        for page, counts in sums.items():
+            found = np.flatnonzero(counts >= enough) + page * PAGE
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32())], names=["bucket"])
+
+    pages = marks.filter("page IS NOT NULL").select("page", "loads")
+    pages = pages.repartition(common.shuffle_partitions(marks.sparkSession), "page")
+    schema = T.StructType([T.StructField("bucket", T.IntegerType())])
+    return common.map_batches(pages, run, schema).toPandas()["bucket"].to_numpy(np.int64)
 
 
 # Signature keys
@@ -427,7 +445,7 @@ def _blocks_of_pairs(pairs: DataFrame) -> DataFrame:
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row."""
     marks = mark(docs, key, text)
-    rows = marks.filter("bucket IS NULL")
+    rows = marks.filter("page IS NULL")
     classes = rows.filter("n_shingles > 0").groupBy("high", "low").agg(
         F.min("doc_id").alias("node"), F.first("least").alias("least"),
         F.first("n_shingles").alias("size"), F.first("parity").alias("parity"),

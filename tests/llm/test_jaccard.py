@@ -100,6 +100,14 @@ def test_edges(edges, nothing):
     assert jaccard.similar_groups(nothing).count() == 0
 
 
+def test_frequency_counts_all_tasks(spark):
+    # A few documents with the shingle in each task, many in all.
+    rows = [(i, f"one two three four five w{i}") for i in range(80)]
+    marks = jaccard.mark(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), "doc_id", "text")
+    (shingle,) = shingle_set(b"one two three four five")
+    assert jaccard.frequent_buckets(marks).tolist() == [int(shingle) % jaccard.BUCKETS]
+
+
 @pytest.fixture
 def few_rounds(monkeypatch):
     calls, pairs = [], jaccard._first_pairs
