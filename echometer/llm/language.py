@@ -179,6 +179,9 @@ def fit(sample: DataFrame, clusters: int = CLUSTERS) -> Model:
     rows = rows.toPandas().sort_values(["lang", "place"], kind="stable")
     # Counts stay sparse; only one language's rows are a matrix at a time.
     seen = np.zeros(DIMENSIONS, np.int64)
+    # Without Arrow, toPandas gives lists rather than arrays; both read the same way here.
+    rows["buckets"] = [np.asarray(x, np.int64) for x in rows["buckets"]]
+    rows["counts"] = [np.asarray(x, np.float32) for x in rows["counts"]]
     for buckets in rows["buckets"]:
         seen[buckets] += 1
     idf = np.log((1 + len(rows)) / (1 + seen)).astype(np.float32) + np.float32(1)
@@ -186,7 +189,7 @@ def fit(sample: DataFrame, clusters: int = CLUSTERS) -> Model:
     for lang, own in rows.groupby("lang"):
         vectors = np.zeros((len(own), DIMENSIONS), np.float32)
         for vector, buckets, numbers in zip(vectors, own["buckets"], own["counts"]):
-            weights = np.log1p(numbers.astype(np.float32)) * idf[buckets]
+            weights = np.log1p(numbers) * idf[buckets]
             vector[buckets] = weights / np.linalg.norm(weights)
         centres, lengths = _centroids(vectors, clusters)
         centroids.append(centres)

@@ -92,3 +92,15 @@ def test_a_matrix_holds_one_language_only(spark, monkeypatch):
     sample = language.training_sample(docs)
     assert sample.count() == 2000
     assert language.fit(sample).languages == tuple(f"l{k // 3}" for k in range(12)) and shapes == [500] * 4
+
+
+def test_fit_without_arrow(spark, tables):
+    """The model must not depend on session settings: toPandas without Arrow gives lists."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    before = spark.conf.get("spark.sql.execution.arrow.pyspark.enabled")
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "false")
+    try:
+        model = language.fit(language.training_sample(docs))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
+    assert len(model.languages) > 0
