@@ -77,7 +77,7 @@ class WordTokenizer:
         if not _PLAIN.fullmatch(text):
             return self.whole(text)
         words, known = _WORDS.findall(text.lower()), self.words
-        if unknown := list(set(words) - known.keys()):
+        if unknown := [word for word in set(words) if word not in known]:
             if len(known) + len(unknown) > REMEMBERED:
                 known.clear()
                 unknown = list(set(words))
