@@ -5,6 +5,7 @@ from __future__ import annotations
 from echometer.llm.bpe import op7_byte_bpe
 from echometer.llm.chat import OP4_SQL, op4_chat_formatting
 from echometer.llm.decontaminate import op6_decontamination
+from echometer.llm.filter_audit import OP11_SQL, op11_filter_audit
 from echometer.llm.fingerprints import op1_fingerprints
 from echometer.llm.jaccard import op3_ngram_jaccard
 from echometer.llm.language import op8_language_id
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 
 ORACLE: dict[str, str] = {
     "op4_chat_formatting": OP4_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
