@@ -10,6 +10,7 @@ from echometer.llm.fingerprints import op1_fingerprints
 from echometer.llm.jaccard import op3_ngram_jaccard
 from echometer.llm.language import op8_language_id
 from echometer.llm.lines import OP10_SQL, op10_line_dedup
+from echometer.llm.periodic_runs import op13_periodic_runs
 from echometer.llm.secrets import op9_secrets
 from echometer.llm.sharding import op2_sharding
 from echometer.llm.tokens import op5_token_files
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
