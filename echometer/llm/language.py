@@ -83,21 +83,44 @@ def _letters() -> np.ndarray:
     return out
 
 
-def grams(text: str) -> np.ndarray:
-    """Bucket of every letter bigram and trigram of the whole text; empty if it has no letter."""
+#: Letters hashed at a time; bounds a worker's memory on very long texts.
+GRAM_CHUNK = 1 << 20
+
+
+def gram_parts(text: str, chunk: int = GRAM_CHUNK) -> Iterator[np.ndarray]:
+    """Buckets of the letter bigrams and trigrams of the whole text, in consecutive parts; none without a letter."""
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     letters = _letters()[points]
     space = letters == _SPACE
     if space.all():
-        return np.empty(0, np.int64)
+        return
     padded = np.concatenate(([_SPACE], letters[~(space & np.concatenate(([True], space[:-1])))], [_SPACE]))
-    first, second = padded[:-1].astype(np.uint64), padded[1:].astype(np.uint64)
-    pairs = first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F)
-    triples = pairs[:-1] * np.uint64(0xD6E8FEB86659FD93) + second[1:] * np.uint64(0x165667B19E3779F9)
-    mixed = np.empty(len(pairs) + len(triples), np.uint64)
-    # In the order of the text, so that a first part of the n-grams is a first part of the text.
-    mixed[::2], mixed[1::2] = pairs, triples
-    return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)).astype(np.int64)
+    del points, letters, space
+    for low in range(0, len(padded) - 1, chunk):
+        part = padded[low : low + chunk + 2]
+        first, second = part[:-1].astype(np.uint64), part[1:].astype(np.uint64)
+        pairs = (first * np.uint64(0x9E3779B97F4A7C15) + second * np.uint64(0xC2B2AE3D27D4EB4F))[:chunk]
+        triples = (pairs[: len(part) - 2] * np.uint64(0xD6E8FEB86659FD93) + second[1:][:chunk] * np.uint64(0x165667B19E3779F9))
+        mixed = np.empty(len(pairs) + len(triples), np.uint64)
+        # In the order of the text, so that a first part of the n-grams is a first part of the text.
+        mixed[: 2 * len(triples) : 2], mixed[1 : 2 * len(triples) : 2] = pairs[: len(triples)], triples
+        if len(pairs) > len(triples):
+            mixed[-1] = pairs[-1]
+        yield ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(50)).astype(np.int64)
+
+
+def grams(text: str) -> np.ndarray:
+    """Bucket of every letter bigram and trigram of the whole text; empty if it has no letter."""
+    return np.concatenate([np.empty(0, np.int64), *gram_parts(text)])
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, int]:
+    """Counts of the buckets of ``grams(text)`` and their number, in bounded memory."""
+    counts, total = np.zeros(DIMENSIONS, np.int64), 0
+    for part in gram_parts(text):
+        counts += np.bincount(part, minlength=DIMENSIONS)
+        total += len(part)
+    return counts, total
 
 
 @dataclass(frozen=True)
@@ -282,20 +305,20 @@ def predict(
         def run(texts: pa.Array) -> Sequence[pa.Array]:
             names, scores, bounds = [], [], []
             for text in common.as_strings(texts):
-                found = grams(text)
-                if not len(found) or not model.languages:
+                counts, total = gram_counts(text)
+                if not total or not model.languages:
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     bounds.append(min_cosine)
                     continue
-                counts = np.bincount(found, minlength=DIMENSIONS).astype(np.float32)
+                counts = counts.astype(np.float32)
                 used = counts.nonzero()[0]
                 weights = np.log1p(counts[used]) * model.idf[used]
                 cosines = weights @ columns[used] / max(float(np.linalg.norm(weights)), 1e-12)
                 best = int(np.argmax(cosines))
                 names.append(model.languages[best])
                 scores.append(min(1.0, max(0.0, float(cosines[best]))))
-                learned = 0.0 if model.bounds is None else model.bounds[best, np.searchsorted(LENGTHS, len(found), "right")]
+                learned = 0.0 if model.bounds is None else model.bounds[best, np.searchsorted(LENGTHS, total, "right")]
                 bounds.append(max(min_cosine, learned))
             far = [n == UNKNOWN or s < least for n, s, least in zip(names, scores, bounds)]
             return [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(far, pa.bool_())]

@@ -1,3 +1,4 @@
+import numpy as np
 import base64
 import random
 import string
@@ -104,3 +105,15 @@ def test_fit_without_arrow(spark, tables):
     finally:
         spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", before)
     assert len(model.languages) > 0
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 1 << 20])
+def test_gram_parts_are_the_grams(chunk):
+    rng = random.Random(chunk)
+    for size in (0, 1, 2, 3, 5, 50, 1000):
+        text = "".join(rng.choice("ab cdé  \nXY1東") for _ in range(size))
+        whole = language.grams(text)
+        parts = list(language.gram_parts(text, chunk))
+        assert np.array_equal(np.concatenate([np.empty(0, np.int64), *parts]), whole)
+        counts, total = language.gram_counts(text)
+        assert total == len(whole) and np.array_equal(counts, np.bincount(whole, minlength=language.DIMENSIONS))
