@@ -11,6 +11,7 @@ from echometer.llm.jaccard import op3_ngram_jaccard
 from echometer.llm.language import op8_language_id
 from echometer.llm.lines import OP10_SQL, op10_line_dedup
 from echometer.llm.periodic_runs import op13_periodic_runs
+from echometer.llm.quality import op12_quality_classifier
 from echometer.llm.secrets import op9_secrets
 from echometer.llm.sharding import op2_sharding
 from echometer.llm.tokens import op5_token_files
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_line_dedup": op10_line_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
