@@ -468,5 +468,9 @@ WITH {_ACCOUNTS}
 SELECT id, account, CASE WHEN id = 'MIDDLE EAST' THEN 'Middle East' ELSE plain_name END AS name,
        image, color, party
 FROM accounts
+""",
+    "emoji_names_large_table": """
+WITH ids AS (SELECT event_id, event_id % 3500 AS a, (event_id // 3500) % 3500 AS b, (event_id * 7) % 3500 AS c FROM events)
+SELECT event_id, 'a e' || a || ' b e' || b || 'e' || c || chr(233) AS named FROM ids
 """,
 }

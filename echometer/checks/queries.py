@@ -514,6 +514,25 @@ def emoji_names_long_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("event_id", name_emoji(F.col("said"), names).alias("named"))
 
 
+def emoji_names_large_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two emoji of a table of 3,500 entries in every event, named by the trie of the table."""
+    names = {views.large_emoji(i): f"e{i}" for i in range(views.LARGE_EMOJI)}
+    many = views.LARGE_EMOJI
+    symbols = F.array(*(F.lit(views.large_emoji(i)) for i in range(many)))
+    said = views.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(
+            F.lit("a "),
+            F.element_at(symbols, (F.col("event_id") % many + 1).cast("int")),
+            F.lit(" b "),
+            F.element_at(symbols, (F.floor(F.col("event_id") / many) % many + 1).cast("int")),
+            F.element_at(symbols, (F.col("event_id") * 7 % many + 1).cast("int")),
+            F.lit("\u00e9"),
+        ).alias("said"),
+    )
+    return said.select("event_id", name_emoji(F.col("said"), names).alias("named"))
+
+
 def accounts_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "accounts")
     rows = views.accounts(spark, sf_dir)
@@ -576,6 +595,7 @@ QUERIES: dict[str, Query] = {
         stream_rolling_counts,
         stream_current_windows,
         emoji_names_long_table,
+        emoji_names_large_table,
         accounts_csv,
     )
 }

@@ -12,6 +12,29 @@ EMOJI = {"🥑": "aguacate", "🙄": "cara con los ojos en blanco", "👩‍🚀
 
 # Emoji, short code and local name, where there is one: flags that overlap, sequences and their
 # parts, keycaps, variation selectors, and a run of animals.
+#: Entries of a large emoji table, made by a rule: single symbols, symbols with a skin tone, pairs joined by
+#: U+200D. No entry begins with a tone or a joiner, so two entries side by side never form a third.
+LARGE_EMOJI = 3500
+EMOJI_BASES = ((0x1F400, 512), (0x1F680, 128), (0x1F900, 256), (0x1FA70, 128))
+
+
+def emoji_base(j: int) -> str:
+    for first, count in EMOJI_BASES:
+        if j < count:
+            return chr(first + j)
+        j -= count
+    raise IndexError(j)
+
+
+def large_emoji(i: int) -> str:
+    """Entry ``i`` of the large table; its name is ``e<i>``."""
+    if i < 1024:
+        return emoji_base(i)
+    if i < 3024:
+        return emoji_base((i - 1024) // 5) + chr(0x1F3FB + (i - 1024) % 5)
+    return emoji_base(i - 3024) + "\u200d" + emoji_base(((i - 3024) * 7 + 3) % 1024)
+
+
 EMOJI_TABLE = [
     ("🇺🇸", ":us:", "estados unidos"),
     ("🇸🇸", ":south_sudan:", "sudán del sur"),

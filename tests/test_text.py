@@ -1,12 +1,15 @@
+import random
 import re
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from echometer.checks import views
 from echometer.functions import text
-from echometer.functions.emoji import _rough_class, name_emoji
+from echometer.functions.emoji import _rough_class, name_emoji, substituter
 
 NAMES = {"🥑": "aguacate", "🙄": "cara con los ojos en blanco", "👩‍🚀": "astronauta", "👩": "mujer", "❤️": "corazón"}
 
@@ -106,3 +109,40 @@ def test_cap_tokens(spark):
         "a b",
         None,
     ]
+
+
+def _flat(names):
+    """The plain way: one alternation of all entries, longest first."""
+    pattern = re.compile("|".join(re.escape(e) for e in sorted(names, key=lambda e: (-len(e), e))))
+    return lambda t: pattern.sub(lambda m: names[m.group()], t)
+
+
+LARGE = {views.large_emoji(i): f"e{i}" for i in range(views.LARGE_EMOJI)} | {":)": "smile", "1️⃣": "uno", "©": "c"}
+
+
+def test_trie_equals_one_alternation():
+    rng = random.Random(5)
+    keys = list(LARGE)
+    pieces = ["hola ", "x", "‍", "\U0001F3FB", "1", ":", "(", "é"]
+    texts = ["".join(rng.choice(keys if rng.random() < 0.4 else pieces) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    for names in (LARGE, dict(list(LARGE.items())[:4]), {"ab": "1", "abc": "2", "b": "3", "c": "4"}):
+        plain, trie = _flat(names), substituter(names)
+        assert [trie(t) for t in texts] == [plain(t) for t in texts]
+    assert substituter({"ab": "1", "abc": "2", "b": "3"})("xabcabxabb") == "x21x13"
+
+
+def test_trie_cost_hardly_grows_with_the_table():
+    def cost(names):
+        rng = random.Random(1)
+        keys = list(names)
+        texts = [("lorem ipsum dolor sit amet " * 4)[:90] + rng.choice(keys) + ("consectetur elit " * 6)[:90] + rng.choice(keys) for _ in range(5000)]
+        run = substituter(names)
+        best = float("inf")
+        for _ in range(5):
+            start = time.perf_counter()
+            for t in texts:
+                run(t)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    assert cost(LARGE) <= 3 * cost(dict(list(LARGE.items())[-4:]))
