@@ -84,10 +84,14 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return pc.fill_null(texts.cast(pa.binary()), b"").to_pylist()
 
 
+#: Row group of a stored table; the Parquet writer holds one in memory per task until it is full.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as a table of the shared folder; cuts lineage and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
