@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from echometer.functions.clock import post_time
 from echometer.functions.text import normalize
 from echometer.operators.audit import counted
-from echometer.operators.joins import BROADCAST_ROWS
 from echometer.operators.flatten import flatten
 from echometer.operators.relevance import keep_relevant
 from echometer.operators.scoring import Scorer, score_deduplicated, score_with_rule
@@ -21,7 +19,6 @@ from echometer.operators.targets import (
     latest_k,
 )
 from echometer.schemas import FACT, INTERACTION
-from echometer.session import holds_at_most, settled
 
 _ONE_ROW = ["TARGET", "TWEET_ID"]
 # A post's counters only rise by and large, so the copy with the largest ones was taken last.
@@ -37,24 +34,18 @@ def usable_posts(posts: DataFrame, counter: str | Observation | None = None) ->
 
 
 def newest_copies(directed: DataFrame) -> DataFrame:
-    """One row per target and post id, the copy with the largest counters.
+    """One row per target and post id: the copy with the largest counters, then the largest other columns.
 
-    Only the repeated keys are gathered first, by a hash aggregate over two columns. If they are few,
-    the rows without copies never move; otherwise all rows are sorted by key.
+    One read and one shuffle. The row is the maximum of a struct of the counters followed by every other
+    column, so copies are combined before the shuffle (partial aggregation): a post repeated a million
+    times leaves each task once. Nulls lose to values, and copies that differ in any column have one
+    winner whatever their order.
     """
-    repeated = settled(
-        directed.groupBy(*_ONE_ROW).agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1").select(*_ONE_ROW)
+    others = [name for name in directed.columns if name not in _ONE_ROW and name not in _NEWEST_COPY]
+    best = F.max(F.struct(*_NEWEST_COPY, *others)).alias("_best")
+    return directed.groupBy(*_ONE_ROW).agg(best).select(
+        *(F.col(f"_best.{name}").alias(name) if name not in _ONE_ROW else F.col(name) for name in directed.columns)
     )
-    first = Window.partitionBy(*_ONE_ROW).orderBy(*(F.desc_nulls_last(name) for name in _NEWEST_COPY))
-
-    def once(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("_rank", F.row_number().over(first)).where("_rank = 1").drop("_rank")
-
-    if not holds_at_most(repeated, BROADCAST_ROWS):
-        return once(directed)
-    keys = F.broadcast(repeated)
-    copies = directed.join(keys, _ONE_ROW, "left_semi")
-    return directed.join(keys, _ONE_ROW, "left_anti").unionByName(once(copies))
 
 
 def directed_posts(

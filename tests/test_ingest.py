@@ -24,11 +24,9 @@ COPIES = [status(5, "@abc_ hola", n) for n in (3, 9, 4)]
 UNUSABLE = [status(None, "@abc_ a"), status(None, "@abc_ b"), status(7, "@abc_ hola", at="soon"), status(8, "@abc_", at=None)]
 
 
-def test_newest_copy_stays_and_unusable_posts_go(spark, monkeypatch):
+def test_newest_copy_stays_and_unusable_posts_go(spark):
     want = [(1, "t1", 1), (2, "t1", 1), (3, "t1", 1), (4, "t1", 1), (5, "t1", 9)]
     assert stored(spark, ROWS + COPIES + UNUSABLE) == want
-    monkeypatch.setattr(ingest, "BROADCAST_ROWS", 0)
-    assert stored(spark, ROWS + COPIES + UNUSABLE) == want
 
 
 def test_copies_take_one_of_the_latest_places(spark):
