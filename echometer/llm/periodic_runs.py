@@ -150,12 +150,13 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts[owner] + np.arange(len(owner)) - first, owner
 
 
-def branching_squares(items: np.ndarray, ranks: Ranks) -> np.ndarray:
+def branching_squares(items: np.ndarray, ranks: Ranks, lcp: np.ndarray | None = None) -> np.ndarray:
     """Distinct ``(start, period)`` of squares after which the period breaks, as an array of pairs."""
     n = len(items)
     if n < 2:
         return np.zeros((0, 2), np.int64)
-    lcp = ranks.lce(ranks.sa[:-1], ranks.sa[1:])
+    if lcp is None:
+        lcp = ranks.lce(ranks.sa[:-1], ranks.sa[1:])
     lb, rb, depth, blb, brb = lcp_intervals(lcp)
     padded = np.append(items, -1)
     found = []
@@ -205,7 +206,11 @@ def runs_of(items: np.ndarray) -> np.ndarray:
     if n < MIN_LENGTH:
         return np.zeros((0, 3), np.int64)
     forward = Ranks(items)
-    squares = branching_squares(items, forward)
+    lcp = forward.lce(forward.sa[:-1], forward.sa[1:])
+    # A run of period q shares max(6, 4q) - q >= 5 words with itself q places on; so do neighbours in SA order.
+    if lcp.max() < MIN_LENGTH - 1:
+        return np.zeros((0, 3), np.int64)
+    squares = branching_squares(items, forward, lcp)
     if not len(squares):
         return np.zeros((0, 3), np.int64)
     backward = Ranks(items[::-1].copy())
