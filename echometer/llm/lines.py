@@ -16,8 +16,10 @@ Copies of one line count as one line from the start: sums and smallest places ha
 joins are equi-joins that adaptive execution splits where one line is on a third of all rows. Texts are
 shuffled only for lines that share a half with a different line.
 
-Lines shorter than ``MIN_CHARS`` code points (blank ones, for instance) are never dropped. A null text has
-no lines; an empty text has one empty line. Rows equal in id and text share their places and are judged
+Equal lines go whatever their length, but blank ones (empty or white space only, as Python's ``isspace``
+says) are never dropped. Only lines of ``MIN_CHARS`` code points or more are compared for one edit: two
+short lines one edit apart can be different words. A null text has no lines; an empty text has one empty
+line. Rows equal in id and text share their places and are judged
 alike; a null id comes first. Extra columns don't matter.
 """
 
@@ -28,7 +30,10 @@ from pyspark.sql import functions as F
 
 from echometer.llm import common
 
+#: Least length of the lines that are compared for one edit; equal lines go at any length.
 MIN_CHARS = 16
+# The white space of Python's str.isspace; a line of these alone is blank.
+NOT_BLANK = r"[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Code points of a block, about, and most blocks in a line.
 BLOCK_CHARS = 16
 MOST_BLOCKS = 64
@@ -36,14 +41,14 @@ MOST_BLOCKS = 64
 LINE = ["line_hash", "line_check"]
 
 
-def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``place`` (id, text hash, number), ``line``, its length and its 128-bit hash, of every line long enough."""
+def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``place`` (id, text hash, number), ``line``, its length and its 128-bit hash, of every line not blank."""
     rows = docs.select(
         common.plain(key).alias("doc_id"), F.xxhash64(common.plain(text)).alias("text_hash"),
         F.posexplode(F.split(common.plain(text), "\n", -1)).alias("line_no", "line"),
     )
     # Lengths are counted once; counting is linear in a line.
-    return rows.withColumn("chars", F.length("line")).filter(F.col("chars") >= min_chars).select(
+    return rows.filter(F.col("line").rlike(NOT_BLANK)).withColumn("chars", F.length("line")).select(
         F.struct("doc_id", "text_hash", "line_no").alias("place"),
         "line",
         "chars",
@@ -155,11 +160,11 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return verified.groupBy(*LINE).agg(F.min("other.place").alias("kept"))
 
 
-def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
     """``doc_id``, ``text_hash`` and the ``dropped`` lines of rows that lose any: sorted (number, near)."""
     lines = lines_of(docs, key, text)
     firsts = first_places(lines)
-    near = near_lines(lines, firsts)
+    near = near_lines(lines.filter(F.col("chars") >= min_chars), firsts)
     decided = (
         firsts.withColumnRenamed("place", "first")
         .join(near, LINE, "left")
@@ -225,11 +230,12 @@ WITH split AS (
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
   FROM documents
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, line_no) AS place FROM split WHERE length(line) >= 16
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, line_no) AS place FROM split
+  WHERE regexp_matches(line, '[^\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]')
 ), firsts AS (
   SELECT line, min(place) AS place, length(line) AS n FROM placed GROUP BY line
 ), halves AS (
-  SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS half FROM firsts
+  SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS half FROM firsts WHERE n >= 16
 ), close AS (
   SELECT a.line, a.n, b.line AS other, b.n AS m FROM halves a JOIN halves b
     ON a.half = b.half AND left(a.line, a.half) = left(b.line, b.half) AND b.place < a.place

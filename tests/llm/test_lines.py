@@ -20,14 +20,16 @@ def brute(rows, least=lines.MIN_CHARS):
     first, out = {}, {}
     for doc_id, text in order:
         for k, line in enumerate(text.split("\n")):
-            first.setdefault(line, (len(first), doc_id, k))
+            if line.strip():
+                first.setdefault(line, (len(first), doc_id, k))
     for doc_id, text in order:
         for k, line in enumerate(text.split("\n")):
-            if len(line) < least:
+            if not line.strip():
                 continue
             at = first[line]
             again = at[1:] != (doc_id, k)
-            if again or any(f < at and near(line, other) for other, f in first.items() if len(other) >= least):
+            close = len(line) >= least and any(f < at and near(line, other) for other, f in first.items() if len(other) >= least)
+            if again or close:
                 out.setdefault(doc_id, []).append(k)
     return out
 
@@ -71,9 +73,10 @@ def test_edges(edges, nothing):
     assert lines.dropped_lines(nothing).count() == 0 and lines.with_dropped(nothing).count() == 0
 
 
-def test_short_lines_stay(spark):
-    df = spark.createDataFrame([(1, "a\na\n\n\nshort"), (2, "a\nshort")], "doc_id long, text string")
-    assert dropped(df) == {}
+def test_short_copies_go_and_blank_lines_stay(spark):
+    rows = [(1, "a\na\n\n\nshort\n\u3000\n\t"), (2, "a\nshort\nshirt\n\u3000\n\x1c "), (3, "短い行\n短い行")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert dropped(df) == {1: [1], 2: [0, 1], 3: [1]} == brute(rows)
 
 
 def test_query(spark, tables):
