@@ -161,6 +161,12 @@ def _span(start: Column, rank: Column, end: Column) -> Column:
     return F.struct(start.alias("start"), rank.cast("int").alias("rank"), end.alias("end"))
 
 
+def _count_of(kind: str) -> Column:
+    """Candidates of one kind. A second parameter of the lambda would be the place in the array."""
+    rank = KINDS.index(kind)
+    return F.size(F.filter("candidates", lambda s: s["rank"] == rank)).cast("long")
+
+
 def _listed(spans: Column) -> Column:
     """kind:start:end of each span by start, then kind, comma-joined."""
     kinds = F.array(*map(F.lit, _ORDER))
@@ -180,10 +186,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "document.doc_id",
-        *(
-            F.size(F.filter("candidates", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{name}")
-            for k, name in enumerate(KINDS)
-        ),
+        *(_count_of(kind).alias(f"n_{kind}") for kind in KINDS),
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.when(F.col("verdicts").isNull(), base).otherwise(F.concat(base, added))).alias("spans"),
     )

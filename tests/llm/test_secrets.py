@@ -68,3 +68,11 @@ def test_query(spark, tables, texts):
         assert [r.n_assign, r.n_access, r.n_hex] == [kinds.count(k) for k in secrets.KINDS]
         assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
         assert set(spans) <= set(r.spans.split(",") if r.spans else [])
+
+
+def test_counts_by_kind_wherever_the_candidate_stands(spark, tmp_path):
+    texts = [f"{LIVE} {LIVE} token={LIVE}", f"{KEY} {LIVE} secret: {KEY} {KEY}", f"api_key={LIVE}", None]
+    rows = [(i, text, "a") for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in secrets.op9_secrets(spark, str(tmp_path)).collect()}
+    assert got == {0: (1, 0, 3), 1: (1, 3, 1), 2: (1, 0, 1), 3: (0, 0, 0)}
