@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from echometer.functions.clock import not_after_now
 from echometer.functions.display import positive_share
+from echometer.session import adaptive
 
 
 def rolling_metrics(
@@ -61,11 +62,14 @@ def start_current(
 ) -> StreamingQuery:
     """Write the windows that each micro-batch has changed, open ones too, as soon as it ends.
 
-    A batch has a folder of its own, which a repeated batch writes again.
+    A batch has a folder of its own, which a repeated batch writes again. Its rows are gathered into
+    files by a shuffle of their own: each state partition stays a task, and files follow the volume.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with adaptive(batch.sparkSession):
+            changed = batch.hint("rebalance", "window_start", "target")
+            changed.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = (
         metrics.writeStream.foreachBatch(store)

@@ -12,7 +12,7 @@ from echometer.schemas import FACT
 from echometer.sources import facts
 from echometer.sources.posts import read_posts, stream_posts
 from echometer.streaming import ingest as streaming
-from echometer.streaming.rolling import rolling_metrics, start_rolling
+from echometer.streaming.rolling import current_windows, rolling_metrics, start_current, start_rolling
 
 ACCOUNTS = [("t1", "abc_"), ("t2", "MixedCase")]
 
@@ -202,3 +202,18 @@ def test_rolling_windows_close_by_watermark(spark, tmp_path):
     assert got["00:00"] == (60, 40) and got["23:15"] == (15, 40) and got["00:45"] == (15, 40)
     assert out.where("target = 'b'").count() == 0
     assert out.agg(F.max("window_end").cast("string")).first()[0] == "2024-01-01 01:45:00"
+
+
+def test_current_windows_keep_a_task_for_each_state_partition(spark, tmp_path):
+    rows = [(f"2024-01-01 {h:02d}:30:00", t, 0.1 * h) for h in range(6) for t in "ab"]
+    source = spark.createDataFrame(rows, "t string, TARGET string, SENTIMENT double").select(F.col("t").cast("timestamp").alias("TWEET_TIMESTAMP"), "TARGET", "SENTIMENT")
+    source.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / "in"))
+    query = start_current(rolling_metrics(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup(str(query.runId))]
+    tasks = {tracker.getStageInfo(stage).numTasks for job in jobs for stage in job.stageIds if tracker.getStageInfo(stage)}
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) in tasks
+    assert len([*tmp_path.glob("out/batch=0/*.parquet")]) == 1
+    assert current_windows(spark, str(tmp_path / "out")).count() == 48
