@@ -48,8 +48,10 @@ class LexiconScorer:
         The weights of a word that is listed several times add up.
         """
         self._lexicon = lexicon.where("word IS NOT NULL").groupBy("word").agg(F.sum("weight").alias("weight"))
-        rows = self._lexicon.limit(inline_words + 1).collect()
-        self._inline = rows if len(rows) <= inline_words else None
+        self._inline = self._settled = None
+        if inline_words > 0:
+            rows = self._lexicon.limit(inline_words + 1).collect()
+            self._inline = rows if len(rows) <= inline_words else None
 
     def score(self, rows: DataFrame, text: str, out: str) -> DataFrame:
         if self._inline is None:
@@ -60,28 +62,59 @@ class LexiconScorer:
     def _score_by_join(self, rows: DataFrame, text: str, out: str) -> DataFrame:
         """For a lexicon beyond the tasks' memory: words meet their weights in a join.
 
-        A text's equal words are counted before the join and distinct texts are scored once.
+        Distinct texts are scored once, and a text's equal words are counted before the join. A word
+        goes to the join once for each Arrow batch, with the texts that hold it, so that a common
+        word neither floods one task nor repeats beside each of its texts.
         """
         keyed = rows.withColumn("_words_of", text_digest(text))
         texts = settled(
-            keyed.where(F.col(text).isNotNull()).groupBy("_words_of", text).agg(F.count(F.lit(1)).alias("_repeats"))
+            keyed.where(F.col(text).isNotNull())
+            .groupBy("_words_of", text)
+            .agg(F.count(F.lit(1)).alias("_repeats"))
+            .withColumn("_place", F.monotonically_increasing_id())
         )
+        if self._settled is None:
+            self._settled = settled(self._lexicon)
+        lexicon = self._settled
+        if holds_at_most(lexicon, BROADCAST_ROWS):
+            lexicon = F.broadcast(lexicon)
         weights = (
-            texts.select("_words_of", F.explode(F.split(text, " ")).alias("word"))
-            .groupBy("_words_of", "word")
-            .agg(F.count(F.lit(1)).alias("_times"))
-            .join(self._lexicon, "word")
-            .groupBy("_words_of")
-            .agg(F.sum(F.col("weight") * F.col("_times")).alias("_weight"))
+            texts.select("_place", text)
+            .mapInArrow(_words_with_texts, "word string, places array<bigint>, times array<int>")
+            .join(lexicon, "word")
+            .select("weight", F.explode(F.arrays_zip("places", "times")).alias("_at"))
+            .groupBy(F.col("_at.places").alias("_place"))
+            .agg(F.sum(F.col("weight") * F.col("_at.times")).alias("_weight"))
         )
         scores = settled(
             texts.drop(text)
-            .join(weights, "_words_of", "left")
+            .join(weights, "_place", "left")
             .select("_words_of", "_repeats", sigmoid(F.coalesce("_weight", F.lit(0.0))).alias(out))
         )
         return join_value(keyed, scores, "_words_of", "_repeats").drop("_words_of")
 
 
+def _words_with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From places and texts: each word of a batch with the places of its texts and how often each holds it."""
+    for batch in batches:
+        places, texts = batch.columns
+        tokens = pc.split_pattern(texts, " ")
+        words = pc.list_flatten(tokens).dictionary_encode()
+        owners = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pairs, times = np.unique(codes * len(batch) + owners, return_counts=True)
+        code, owner = np.divmod(pairs, max(len(batch), 1))
+        starts = pa.array(np.searchsorted(code, np.arange(len(words.dictionary) + 1)), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [
+                words.dictionary.cast(pa.string()),
+                pa.ListArray.from_arrays(starts, places.take(pa.array(owner))),
+                pa.ListArray.from_arrays(starts, pa.array(times, pa.int32())),
+            ],
+            names=["word", "places", "times"],
+        )
+
+
 def _word_weigher(words: Sequence[str], weights: Sequence[float]):
     known = pa.array(words, pa.string())
     by_place = np.append(np.asarray(weights, dtype=float), 0.0)

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,18 @@ def test_join_dimension_beyond_its_bound(spark, how):
     got = join_dimension(frame, dimension, "k", how, broadcast_rows=0, lanes=4)
     assert got.columns == want.columns
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_a_word_meets_its_weight_once_a_batch(spark):
+    texts = [None, "", "hola  hola mal ", "mal hola", "x " * 2000, "hola  hola mal "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    lexicon = spark.createDataFrame([("hola", 1.5), ("mal", -1.0), ("", 0.25), ("x", 0.001)], "word string, weight double")
+    scores = [
+        {r["id"]: r["s"] for r in scoring.LexiconScorer(lexicon, **words).score(rows, "t", "s").collect()} for words in ({}, {"inline_words": 0})
+    ]
+    assert scores[1] == {i: s if s is None else pytest.approx(s) for i, s in scores[0].items()} and len(scores[1]) == 6
+
+    batch = pa.RecordBatch.from_pydict({"place": pa.array([7, 8, 9], pa.int64()), "text": ["a b a", "b", ""]})
+    (found,) = scoring._words_with_texts([batch])
+    assert {r["word"]: (r["places"], r["times"]) for r in found.to_pylist()} == {"a": ([7], [2]), "b": ([7, 8], [1, 1]), "": ([9], [1])}
+    assert scoring._words_with_texts([batch.slice(0, 0)]).__next__().num_rows == 0
