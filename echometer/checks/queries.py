@@ -422,9 +422,13 @@ def fact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compacted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored rows, written as eight batches of a run and merged twice on the way."""
     table = _fresh_table(spark)
-    rows = _ingested(spark, sf_dir)
+    # Posts are scored once; each batch then reads its own folder.
+    dealt = scratch_path(spark, "batches")
+    rows = _ingested(spark, sf_dir).withColumn("_batch", F.pmod("TWEET_ID", F.lit(8)))
+    rows.write.partitionBy("_batch").parquet(dealt)
     for batch in range(8):
-        fact_table.write_batch(rows.where(F.pmod("TWEET_ID", F.lit(8)) == batch), table, f"run-{batch}")
+        fresh = spark.read.schema(rows.schema).parquet(dealt).where(F.col("_batch") == batch).drop("_batch")
+        fact_table.write_batch(fresh, table, f"run-{batch}")
         if batch in (4, 7):
             fact_table.compact(spark, table)
     return _stored(fact_table.read_facts(spark, table))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from echometer.schemas import FACT, PARTITION_BATCH, PARTITION_DAY
 
 RETENTION_DAYS = 2
 _DROPS_PER_STATEMENT = 500
+_DAYS_PER_WRITE = 100
 # Batches of one run are numbered; a merged partition names the last one in it.
 _NUMBERED = re.compile(r"(?P<run>.+)-(?P<number>\d+)")
 _MERGED = re.compile(r"(?P<run>.+)-to-(?P<number>\d+)")
@@ -83,22 +85,30 @@ def compact(spark: SparkSession, table: str) -> int:
     between those last two statements. One compaction may run at a time.
     """
     gone = 0
-    for (day, run), numbers in list(_batches(spark, table, pending=True).items()):
-        gone += _swap(spark, table, day, run, max(numbers))
-    newest: dict[str, int] = {}
     days = _batches(spark, table)
+    if broken := _batches(spark, table, pending=True):
+        for (day, run), numbers in broken.items():
+            gone += _swap(spark, table, day, run, max(numbers), days)
+        days = _batches(spark, table)
+    newest: dict[str, int] = {}
     for (_, run), numbers in days.items():
         newest[run] = max(newest.get(run, -1), *(n for n, name in numbers.items() if _NUMBERED.fullmatch(name)), -1)
+    # Days that merge the same batches are written by one job.
+    alike: dict[tuple[str, int, tuple[str, ...]], list[str]] = defaultdict(list)
     for (day, run), numbers in days.items():
         closed = {n: name for n, name in numbers.items() if n < newest[run] or _MERGED.fullmatch(name)}
-        if len(closed) < 2:
-            continue
-        last = max(closed)
-        rows = spark.table(table).where(
-            (F.col(PARTITION_DAY) == F.lit(day).cast("date")) & F.col(PARTITION_BATCH).isin(list(closed.values()))
-        )
-        write_batch(rows, table, f"{_PENDING}{run}-to-{last}")
-        gone += _swap(spark, table, day, run, last)
+        if len(closed) > 1:
+            alike[run, max(closed), tuple(sorted(closed.values()))].append(day)
+    for (run, last, names), together in alike.items():
+        for start in range(0, len(together), _DAYS_PER_WRITE):
+            part = together[start : start + _DAYS_PER_WRITE]
+            rows = spark.table(table).where(
+                F.col(PARTITION_DAY).isin([datetime.date.fromisoformat(day) for day in part])
+                & F.col(PARTITION_BATCH).isin(list(names))
+            )
+            write_batch(rows, table, f"{_PENDING}{run}-to-{last}")
+            listed = _batches(spark, table)
+            gone += sum(_swap(spark, table, day, run, last, listed) for day in part)
     return gone
 
 
@@ -124,9 +134,11 @@ def _partitions(spark: SparkSession, table: str) -> Iterator[tuple[str, str]]:
         yield spec[PARTITION_DAY], spec[PARTITION_BATCH]
 
 
-def _swap(spark: SparkSession, table: str, day: str, run: str, last: int) -> int:
-    """Drop what a pending partition replaces, then give it its name."""
-    replaced = [name for n, name in _batches(spark, table).get((day, run), {}).items() if n <= last]
+def _swap(
+    spark: SparkSession, table: str, day: str, run: str, last: int, listed: dict[tuple[str, str], dict[int, str]]
+) -> int:
+    """Drop what a pending partition replaces of those ``listed``, then give it its name."""
+    replaced = [name for n, name in listed.get((day, run), {}).items() if n <= last]
     names = [f"{PARTITION_DAY}={day}/{PARTITION_BATCH}={name}" for name in replaced]
     for start in range(0, len(names), _DROPS_PER_STATEMENT):
         _drop(spark, table, names[start : start + _DROPS_PER_STATEMENT])

@@ -1,4 +1,5 @@
 import datetime
+import functools
 import json
 import uuid
 
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from echometer.checks import queries
 from echometer.operators.scoring import LexiconScorer, ModelScorer
 from echometer.plans.ingest import ingest
 from echometer.schemas import FACT
@@ -217,3 +219,41 @@ def test_current_windows_keep_a_task_for_each_state_partition(spark, tmp_path):
     assert int(spark.conf.get("spark.sql.shuffle.partitions")) in tasks
     assert len([*tmp_path.glob("out/batch=0/*.parquet")]) == 1
     assert current_windows(spark, str(tmp_path / "out")).count() == 48
+
+
+def test_compaction_writes_days_of_the_same_batches_together(spark, place, monkeypatch):
+    table, written = place[1], []
+    days = [f"2024-01-0{d}" for d in range(1, 6)]
+    for n in range(4):
+        batch = [batch_of(spark, [10 * n + i], day) for i, day in enumerate(days if n != 1 else days[:3])]
+        facts.write_batch(functools.reduce(lambda a, b: a.union(b), batch), table, f"run-{n}")
+    want, write = stored(spark, place), facts.write_batch
+    monkeypatch.setattr(facts, "write_batch", lambda *a: (written.append(a[2]), write(*a)))
+    assert facts.compact(spark, table) == 3 * 3 + 2 * 2
+    assert written == ["pending-run-to-2"] * 2
+    assert stored(spark, place) == want and len(want) == 18
+    assert sorted(partitions(spark, table)) == [
+        f"event_date={day}/ingest_batch=run-{n}" for day in days for n in ("3", "to-2")
+    ]
+
+
+@pytest.mark.parametrize("events", [0, 40])
+def test_compacted_facts_ingests_once(spark, tmp_path, monkeypatch, events):
+    spark.createDataFrame([(0, "ASIA"), (1, "MIDDLE EAST"), (2, "AFRICA"), (3, "EUROPE"), (4, "AMERICA")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    rows = [(i, datetime.datetime(2024, 1, 1 + i % 3), i // 2, "view", 1.0 * i, "{}") for i in range(events)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    seen, ingested = spark.sparkContext.accumulator(0), queries._ingested
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    def counted(*a):
+        df = ingested(*a)
+        return df.mapInArrow(watched, df.schema)
+
+    want = ingested(spark, str(tmp_path)).count()
+    monkeypatch.setattr(queries, "_ingested", counted)
+    assert queries.compacted_facts(spark, str(tmp_path)).count() == want == seen.value
+    assert (want > 0) == (events > 0)
