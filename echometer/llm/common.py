@@ -47,11 +47,12 @@ def annotate(
     fields: Sequence[T.StructField],
     carry: Sequence[str] | None = None,
     text: str = "text",
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Rows of ``docs`` as a struct ``document`` (its columns in ``carry``, or all) beside new columns.
 
     A struct keeps the document's own columns apart, so no name of theirs can clash with a result.
-    ``start`` is called once per task.
+    ``start`` is called once per task, ``finish`` when the task has no more rows.
     """
     carry = list(docs.columns if carry is None else carry)
     kept = T.StructType([docs.schema[name] for name in carry])
@@ -65,6 +66,8 @@ def annotate(
         for batch in batches:
             document = pa.StructArray.from_arrays([batch.column(i) for i in positions], names=carry)
             yield pa.RecordBatch.from_arrays([document, *annotator(batch.column(at))], names=names)
+        if finish is not None:
+            finish()
 
     return map_batches(docs, run, schema)
 

@@ -43,6 +43,28 @@ def test_pieces_of_long_texts(vocabulary, oracle, monkeypatch):
     assert [i for _, piece in codec.encoded([text]) for i in piece] == oracle.encode_ordinary(text)
 
 
+def test_plain_texts_are_split_alike():
+    plain, whole = bpe.plain_splitter(public_tokenizers.PATTERN), bpe.splitter(public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    for _ in range(2000):
+        text = "".join(chr(rng.choice((rng.randrange(0x250), rng.randrange(128), 32, 10, 0x85, 0xA0, 39))) for _ in range(30))
+        assert bpe.PLAIN.fullmatch(text) and plain.findall(text) == whole.findall(text)
+    assert bpe.plain_splitter(r"(?i:'s)|\p{L}+") is None and bpe.plain_splitter(r"\w+|\p{Lu}") is None
+
+
+def test_codec_at_rest_is_small(vocabulary, oracle, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    codec = bpe.Codec(vocabulary, public_tokenizers.PATTERN)
+    for k in range(4):
+        text = " ".join(f"unpronounceable{'abcdefgh'[i % 8] * (i // 8 + 1)}{k}" for i in range(60))
+        ids = [i for _, piece in codec.encoded([text]) for i in piece]
+        assert ids == oracle.encode_ordinary(text) and codec.decode([ids]) == [text.encode()]
+        # A word's ids take four bytes each beside one object.
+        assert all(type(found) is bytes and len(found) % 4 == 0 for found in codec.words.values())
+        codec.rest()
+        assert codec.opened is None and not codec.older and codec.words
+
+
 def test_edges(edges, nothing, vocabulary, oracle):
     expected = sorted(
         (len(ids := oracle.encode_ordinary(row[1] or "")), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
