@@ -18,6 +18,7 @@ empty table gives a file without segments; extra columns are ignored. Rows that
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,6 +38,8 @@ END = 2
 SEGMENT = 1 << 22
 #: Words whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Words of texts that are handled together, and new words of a call of the tokenizer.
+TOGETHER, AT_ONCE = 1 << 17, 2000
 
 SEGMENTS = T.StructType(
     [
@@ -57,36 +60,72 @@ _ARROW_SEGMENTS = pa.schema(
 )
 
 #: Texts of these characters alone are normalized letter by letter and white space is plain.
-_PLAIN = regex.compile(r"[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
+_PLAIN = re.compile(r"[\t-\r\x20-\x7e\xa1-įı-ɏ]*")
 #: The words of the tokenizer's own splitting rule (fixed value).
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+
+
+def _plain_words() -> re.Pattern:
+    """The same rule for lower-cased plain texts, faster, with their letters and numbers listed."""
+    plain = (chr(c) for c in range(0x250))
+    found = sorted({x for c in plain if _PLAIN.fullmatch(c) for x in c.lower()})
+    letters, numbers = ("".join(c for c in found if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}"))
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\t-\r\x20{letters}{numbers}]+")
+
+
+_PLAIN_WORDS = _plain_words()
+
+
 class WordTokenizer:
     """Token ids of whole texts, remembering words."""
 
     def __init__(self, definition: str) -> None:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, list[int]] = {}
+        #: Ids as 16-bit integers.
+        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, text: str) -> list[int]:
-        if not _PLAIN.fullmatch(text):
-            return self.whole(text)
-        words, known = _WORDS.findall(text.lower()), self.words
-        if unknown := [word for word in set(words) if word not in known]:
-            if len(known) + len(unknown) > REMEMBERED:
-                known.clear()
-                unknown = list(set(words))
-            found = self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)
-            known.update(zip(unknown, (x.ids for x in found)))
-        ids: list[int] = []
-        for word in words:
-            ids += known[word]
-        return ids
+        return np.frombuffer(self.encoded([text])[0], "<u2").tolist()
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 16-bit little-endian integers; words of many texts are learned together."""
+        out: list[bytes] = []
+        held: list[list[str] | bytes] = []
+        size = 0
+        for text in texts:
+            if _PLAIN.fullmatch(text):
+                held.append(_PLAIN_WORDS.findall(text.lower()))
+                size += len(held[-1])
+            else:
+                held.append(np.array(self.whole(text), "<u2").tobytes())
+            if size >= TOGETHER:
+                out += self._joined(held)
+                held, size = [], 0
+        return out + self._joined(held)
+
+    def _joined(self, held: list[list[str] | bytes]) -> list[bytes]:
+        distinct = set().union(*(words for words in held if type(words) is list))
+        unknown = [word for word in distinct if word not in self.words]
+        if len(self.words) + len(unknown) > REMEMBERED:
+            self.words.clear()
+            unknown = list(distinct)
+        for low in range(0, len(unknown), AT_ONCE):
+            self._learn(unknown[low : low + AT_ONCE])
+        ids_of = self.words.__getitem__
+        return [b"".join(map(ids_of, words)) if type(words) is list else words for words in held]
+
+    def _learn(self, words: list[str]) -> None:
+        # One call for many words, each on its own; the tokens say which word they are of.
+        found = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        data = np.array(found.ids, "<u2").tobytes()
+        ends = (2 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))).tolist()
+        self.words.update((word, data[i:j]) for word, i, j in zip(words, ends, ends[1:]))
 
 
 _tokenizers: dict[int, WordTokenizer] = {}
@@ -101,11 +140,9 @@ def tokenized(docs: DataFrame, definition: str, end: int = END, key: str = "doc_
         if (mark := hash(shared.value)) not in _tokenizers:
             _tokenizers.clear()
             _tokenizers[mark] = WordTokenizer(shared.value)
-        tokenizer = _tokenizers[mark]
+        tokenizer, last = _tokenizers[mark], np.array([end], "<u2").tobytes()
         for batch in batches:
-            ids = [
-                np.array([*tokenizer.encode(t), end], "<u2").tobytes() for t in common.as_strings(batch.column(1))
-            ]
+            ids = [found + last for found in tokenizer.encoded(common.as_strings(batch.column(1)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     rows = docs.select(common.plain(key).cast("long").alias("doc_id"), common.plain(text).alias("text"))

@@ -47,6 +47,21 @@ def test_words_equal_whole_texts(definition):
     assert [tokenizer.encode(t) for t in texts] == [tokenizer.whole(t) for t in texts]
 
 
+def test_new_words_of_many_texts_take_one_call(definition, oracle, monkeypatch):
+    tokenizer = tokens.WordTokenizer(definition)
+    calls, learn = [], tokenizer._learn
+    monkeypatch.setattr(tokenizer, "_learn", lambda words: calls.append(len(words)) or learn(words))
+    texts = [f"word{'abcdefgh'[k % 8] * (k // 8)} don't ½ x{k} ɏȺ" for k in range(100)] + ["", "日本 語", "é" * 50]
+    expected = [np.array(oracle.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    assert tokenizer.encoded(texts) == expected
+    assert len(calls) == 1
+    # Few words together, few remembered: the same ids.
+    monkeypatch.setattr(tokens, "TOGETHER", 3)
+    monkeypatch.setattr(tokens, "REMEMBERED", 5)
+    monkeypatch.setattr(tokens, "AT_ONCE", 2)
+    assert tokens.WordTokenizer(definition).encoded(texts) == expected
+
+
 def written(spark, df, definition):
     path = scratch_path(spark, "tokens")
     tokens.write_file(tokens.tokenized(df, definition), ordering.id_bounds(df.select("doc_id")), path)
