@@ -460,10 +460,10 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # What is left: keys whose documents are in several components.
     frequent = frequent_buckets(marks)
     nodes = _relabelled(classes.select("node", "size"), labels)
+    # Stored, since what follows reads the postings twice.
+    keys = common.stored(keyed(docs, frequent, key, text).join(nodes, "node"), "keys")
     postings = (
-        keyed(docs, frequent, key, text)
-        .join(nodes, "node")
-        .select(F.posexplode("keys").alias("nth", "key"), "n_rare", "node", F.col("size").cast("int").alias("size"), "component")
+        keys.select(F.posexplode("keys").alias("nth", "key"), "n_rare", "node", F.col("size").cast("int").alias("size"), "component")
         .withColumn("place", F.when(F.col("nth") < F.col("n_rare"), F.col("nth")).otherwise(0))
         .drop("nth", "n_rare")
     )

@@ -147,3 +147,16 @@ def test_components(spark):
 def test_query(spark, tables, texts):
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op3_ngram_jaccard(spark, tables).collect()}
     assert rows == brute(texts)
+
+
+def test_keys_are_made_once(spark, monkeypatch):
+    plans, several = [], jaccard._several
+
+    def seen(postings):
+        plans.append(postings._jdf.queryExecution().toString())
+        return several(postings)
+
+    monkeypatch.setattr(jaccard, "_several", seen)
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(20))) for i in range(4)]
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert plans and not any("MapInArrow" in plan for plan in plans)
