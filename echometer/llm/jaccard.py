@@ -13,15 +13,20 @@ for again; no link between components is missed, and pairs within a group are ne
    into them has keys of a second kind: its shingles are dealt into more than twice as many parts as
    similar sets can differ in shingles, and each part's content is a key, so that similar sets have a part
    in common.
-4. Lists with several components give candidates: first the first document of each component against the
-   first of the list, again while that joins many components, then all pairs across components whose sizes
+4. Long lists of the second kind, those of large groups of near copies, are never paired. Documents that such
+   lists connect are a family, dealt by size into parts of ``BLOCK`` documents; each document outside the
+   family's largest component is looked for in every part of sizes that allow a link. A family of f documents,
+   q of them outside, takes some q f / ``BLOCK`` placed documents.
+5. Other lists with several components give candidates: first the first document of each component against
+   the first of the list, again while that joins many components, then all pairs across components whose sizes
    allow a link. A parity vector of each set bounds the overlap from above and drops most other pairs. The
    rest are searched in blocks of one document and its candidates.
 
 In a block, DivideSkip finds the documents that reach the required overlap with a query document: its short
 inverted lists are merged and counted, documents that can still reach it are looked up in its longest
-lists by binary search. Merging is done by sorting whole lists in numpy, which gives the counts that a heap
-gives. Documents already joined with the query are left out.
+lists by binary search, or those lists are merged too where that is less than the lookups. Merging is done
+by counting the entries of whole lists in numpy, which gives the counts that a heap gives. Documents already
+joined with the query are left out.
 
 The frequency sketch and the keys cover all documents. The sketch only steers the order of shingles: any
 order gives the same links. Hot keys: copies are one class; large blocks are split; a key's first documents
@@ -68,6 +73,10 @@ BROADCAST_ROWS = 300_000
 WORTH_A_ROUND = 4
 #: Share of the least overlap that is left to long lists.
 LONG_SHARE = 0.5
+#: Entries of long lists that are merged in the time of one document's lookup.
+PER_LOOKUP = 1000
+#: Documents of a list of the second kind from which on it is searched by families.
+FAMILY = 64
 
 MARKS = T.StructType(
     [
@@ -87,7 +96,7 @@ _ARROW_MARKS = pa.schema(
 )
 
 
-def needed(n: int, m: int, threshold: tuple[int, int] = THRESHOLD) -> int:
+def needed(n: int, m: int | np.ndarray, threshold: tuple[int, int] = THRESHOLD) -> int | np.ndarray:
     """Least overlap of sets of n and m elements that reaches the similarity."""
     part, whole = threshold
     return -(-part * (n + m) // (part + whole))
@@ -257,8 +266,8 @@ def _probed(own: np.ndarray, tokens: np.ndarray) -> int:
     return int((own[places] == tokens).sum())
 
 
-def search_block(sets: list[np.ndarray], lead: int | None = None) -> list[tuple[int, int]]:
-    """Links that join all similar sets of a block, or all that are similar to ``lead``, by DivideSkip."""
+def search_block(sets: list[np.ndarray], leads: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join all similar sets of a block, or all that are similar to one of ``leads``, by DivideSkip."""
     forest, links = Forest(list(range(len(sets)))), []
     sizes = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
@@ -268,50 +277,63 @@ def search_block(sets: list[np.ndarray], lead: int | None = None) -> list[tuple[
     starts = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     ends = np.append(starts[1:], len(tokens))
     heads = tokens[starts]
-    for x in range(len(sets)) if lead is None else [lead]:
+    part, whole = THRESHOLD
+
+    def merged(lists: np.ndarray) -> np.ndarray:
+        entries = [owners[starts[i] : ends[i]] for i in lists]
+        return np.bincount(np.concatenate(entries) if entries else np.empty(0, np.int64), minlength=len(sets))
+
+    for x in range(len(sets)) if leads is None else leads:
         own = sets[x]
         lists = np.searchsorted(heads, own)
         lengths = ends[lists] - starts[lists]
         lists = lists[np.argsort(lengths, kind="stable")]
         lengths = ends[lists] - starts[lists]
-        least = -(-THRESHOLD[0] * len(own) // THRESHOLD[1])
+        least = -(-part * len(own) // whole)
         if len(own) == 0 or (lengths > 1).sum() < least:
             continue
         # More long lists leave less to merge and more to look up.
         n_long = int(LONG_SHARE * (least - 1))
         cut = len(lists) - n_long
-        merged = np.concatenate([owners[starts[i] : ends[i]] for i in lists[:cut]])
-        candidates, counts = np.unique(merged, return_counts=True)
-        enough = (counts >= least - n_long) & ((candidates < x) if lead is None else (candidates != x))
-        for y, count in zip(candidates[enough].tolist(), counts[enough].tolist()):
+        counts = merged(lists[:cut])
+        required = needed(len(own), sizes)
+        enough = (counts >= least - n_long) & (counts + n_long >= required)
+        if leads is None:
+            enough[x:] = False
+        enough[x] = False
+        candidates = np.flatnonzero(enough)
+        together = lengths[cut:].sum() <= PER_LOOKUP * len(candidates)
+        if together:
+            candidates = candidates[(counts + merged(lists[cut:]) >= required)[candidates]]
+        for y in candidates.tolist():
             if forest.root(y) == forest.root(x):
                 continue
-            required = needed(len(own), int(sizes[y]))
-            if count + n_long >= required and count + _probed(sets[y], heads[lists[cut:]]) >= required:
+            if together or counts[y] + _probed(sets[y], heads[lists[cut:]]) >= required[y]:
                 forest.join(forest.root(x), forest.root(y))
                 links.append((x, y))
     return links
 
 
-def search_blocks(docs: DataFrame, members: DataFrame, key: str, text: str, led: bool = False) -> DataFrame:
+def search_blocks(docs: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
     """Links (``a``, ``b``) within blocks; ``members`` has (``block``, ``part``, ``node``), distinct.
 
-    In a ``led`` block only links with the node it is named after are looked for.
+    With a column ``lead`` only links with the nodes marked by it are looked for.
     """
+    if "lead" not in members.columns:
+        members = members.withColumn("lead", F.lit(None).cast("boolean"))
     # A short list goes to where the texts are; with a long one the texts are shuffled once more.
     if members.count() <= BROADCAST_ROWS:
         members = F.broadcast(members)
     rows = docs.select(common.plain(key).cast("long").alias("node"), common.plain(text).alias("text"))
-    placed = rows.join(members, "node").select("block", "part", "node", "text")
+    placed = rows.join(members, "node").select("block", "part", "node", "text", "lead")
     partitions = common.shuffle_partitions(docs.sparkSession)
     together = placed.repartition(partitions, "block", "part").sortWithinPartitions("block", "part", "node")
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def found(block: int | None, nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    def found(nodes: list[int], sets: list[np.ndarray], marks: list[bool | None]) -> pa.RecordBatch:
         links = []
         if len(nodes) > 1:
-            leads = [k for k, node in enumerate(nodes) if node == block] if led else [None]
-            links = [link for lead in leads for link in search_block(sets, lead)]
+            links = search_block(sets, None if marks[0] is None else [k for k, lead in enumerate(marks) if lead])
         pairs = [(nodes[x], nodes[y]) for x, y in links]
         # Rows with one id are one document.
         pairs = [(a, b) for a, b in pairs if a != b]
@@ -320,19 +342,21 @@ def search_blocks(docs: DataFrame, members: DataFrame, key: str, text: str, led:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, nodes, sets, seen = (None, None), [], [], None
+        block, nodes, sets, marks, seen = (None, None), [], [], [], None
         for batch in batches:
             places = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for place, node, data in zip(places, batch.column(2).to_pylist(), common.as_bytes(batch.column(3))):
+            rows = zip(places, batch.column(2).to_pylist(), common.as_bytes(batch.column(3)), batch.column(4).to_pylist())
+            for place, node, data, lead in rows:
                 if place != block:
-                    yield found(block[0], nodes, sets)
-                    block, nodes, sets, seen = place, [], [], None
+                    yield found(nodes, sets, marks)
+                    block, nodes, sets, marks, seen = place, [], [], [], None
                 if (node, data) == seen:
                     continue
                 seen = (node, data)
                 nodes.append(node)
                 sets.append(shingle_set(data))
-        yield found(block[0], nodes, sets)
+                marks.append(lead)
+        yield found(nodes, sets, marks)
 
     return common.stored(common.map_batches(together, run, schema), "links")
 
@@ -362,14 +386,41 @@ def _relabelled(rows: DataFrame, labels: DataFrame, node: str = "node") -> DataF
 
 
 def _several(postings: DataFrame) -> DataFrame:
-    """Postings of the keys whose documents are in several components."""
+    """Postings of the keys whose documents are in several components, with the list's ``length`` and ``first``."""
     open_keys = (
         postings.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        .agg(F.min("component").alias("low"), F.max("component").alias("high"),
+             F.count("*").alias("length"), F.min("node").alias("first"))
         .filter("low <> high")
-        .select("key")
+        .select("key", "length", "first")
+    )
+    return postings.drop("length", "first").join(open_keys, "key")
+
+
+def _family_blocks(postings: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Blocks of the families that these lists connect, led by the documents outside the largest component.
+
+    A block has documents of one family and one size group; leads go to the parts of their own and of the
+    neighbouring groups, which similar sets are in.
+    """
+    families = components(postings.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
+    group = F.floor(F.log("size") / math.log(THRESHOLD[1] / THRESHOLD[0]) + 1e-9).cast("int")
+    members = nodes.join(families.withColumnRenamed("component", "family"), "node").withColumn("group", group)
+    members = common.stored(members.select("family", "group", "node", "component"), "families")
+    largest = members.groupBy("family", "component").count().groupBy("family").agg(
+        F.max(F.struct("count", "component")).alias("largest")
+    )
+    sizes = members.groupBy("family", "group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    block = F.xxhash64("family", "group").alias("block")
+    data = members.join(sizes, ["family", "group"]).select(
+        block, F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("lead")
+    )
+    outside = members.join(largest, "family").filter("component <> largest.component")
+    near = F.explode(F.array(*(F.col("group") + k for k in (-1, 0, 1))))
+    leads = outside.select("family", near.alias("group"), "node").join(sizes, ["family", "group"]).select(
+        block, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", F.lit(True).alias("lead")
     )
-    return postings.join(open_keys, "key", "left_semi")
+    return data.unionByName(leads).groupBy("block", "part", "node").agg(F.max("lead").alias("lead"))
 
 
 def _first_pairs(postings: DataFrame) -> DataFrame:
@@ -434,12 +485,13 @@ def _blocks_of_pairs(pairs: DataFrame) -> DataFrame:
     members = pairs.select(F.col("b").alias("block"), F.col("a").alias("node"))
     sizes = members.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     rest = members.join(sizes, "block").select(
-        "block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node"
+        "block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), "node", F.lit(False).alias("lead")
     )
     leads = sizes.select(
-        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("block").alias("node")
-    )
-    return rest.unionByName(leads).distinct()
+        "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("block").alias("node"),
+        F.lit(True).alias("lead"),
+    )
+    return rest.distinct().unionByName(leads)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,15 +517,23 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     postings = (
         keys.select(F.posexplode("keys").alias("nth", "key"), "n_rare", "node", F.col("size").cast("int").alias("size"), "component")
         .withColumn("place", F.when(F.col("nth") < F.col("n_rare"), F.col("nth")).otherwise(0))
+        .withColumn("second", F.col("nth") >= F.col("n_rare"))
         .drop("nth", "n_rare")
     )
     postings = common.stored(_several(postings), "postings")
     parities = common.stored(classes.select("node", "parity"), "parities")
+    in_families = F.col("second") & (F.col("length") > FAMILY)
+    connecting = postings.filter(in_families)
+    if connecting.limit(1).count():
+        blocks = common.stored(_family_blocks(connecting, nodes), "blocks")
+        links = links.unionByName(search_blocks(docs, blocks, key, text))
+        labels = components(links)
+        postings = common.stored(_several(_relabelled(postings.filter(~in_families), labels)), "postings")
     everything = False
     while True:
         pairs = _all_pairs_across(postings) if everything else _first_pairs(postings)
         possible = common.stored(_possible(pairs, parities), "pairs")
-        found = search_blocks(docs, common.stored(_blocks_of_pairs(possible), "blocks"), key, text, led=True)
+        found = search_blocks(docs, common.stored(_blocks_of_pairs(possible), "blocks"), key, text)
         joined = found.count()
         if joined:
             links = links.unionByName(found)

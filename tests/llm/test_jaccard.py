@@ -160,3 +160,32 @@ def test_keys_are_made_once(spark, monkeypatch):
     rows = [(i, " ".join(f"d{i}w{k}" for k in range(20))) for i in range(4)]
     assert grouped(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
     assert plans and not any("MapInArrow" in plan for plan in plans)
+
+
+def test_near_copies_make_no_pairs(spark, monkeypatch):
+    # One large group of near copies, many of them too far from the others to link.
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(150)]
+    rows = copies(rng, [base], 240, [1, 2, 4, 6, 8, 9, 10])
+    lengths, pairs = [], jaccard._all_pairs_across
+
+    def seen(postings):
+        lengths.extend(row["count"] for row in postings.groupBy("key").count().collect())
+        return pairs(postings)
+
+    monkeypatch.setattr(jaccard, "_all_pairs_across", seen)
+    expected = brute(rows)
+    assert len({component for _, component in expected.values()}) > 20
+    assert grouped(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)) == expected
+    assert max(lengths, default=0) <= jaccard.FAMILY
+
+
+def test_short_long_lists_are_merged(monkeypatch):
+    rng = random.Random(4)
+    sets = [shingle_set(text.encode()) for _, text in sorted(copies(rng, [[f"a{i}" for i in range(80)]], 50, [0, 2, 4, 5, 7]))]
+    merged = jaccard.search_block(sets)
+    monkeypatch.setattr(jaccard, "PER_LOOKUP", 0)
+    assert merged == jaccard.search_block(sets)
+    leads = [1, 7, 30]
+    assert {x for x, _ in jaccard.search_block(sets, leads)} <= set(leads)
