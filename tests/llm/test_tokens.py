@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from echometer.llm import ordering, rangecoder, tokens
@@ -103,3 +104,37 @@ def test_checksums_are_checked(spark, edges, definition):
 
 def test_query(spark, tables, texts, oracle):
     check(tokens.op5_token_files(spark, tables).collect(), texts, oracle)
+
+
+def test_split_is_the_rule_of_the_tokenizer():
+    rule = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    rng, letters = random.Random(7), "aéÿsrtvemldȺ'''\"!? \t\n\xa11½²0|"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(0, 30))).lower() for _ in range(3000)]
+    found = tokens.split_words("\0".join(texts) + "\0").to_pylist()
+    assert [word.decode("utf-16-le") for word in found] == [w for t in texts for w in [*rule.findall(t), "\0"]]
+
+
+def test_one_tokenizer_per_worker(definition):
+    assert tokens.worker_tokenizer(definition) is tokens.worker_tokenizer(definition)
+    assert tokens.worker_tokenizer(None) is None and not tokens._tokenizers
+
+
+def test_segments_are_coded_side_by_side(spark, definition, oracle, monkeypatch):
+    monkeypatch.setattr(tokens, "SEGMENT", 40)
+    monkeypatch.setattr(rangecoder, "BLOCK", 16)
+    texts = [(i, f"text number {i} " * (i % 9)) for i in range(60)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    ids, path = tokens.tokenized(df, definition), scratch_path(spark, "tokens")
+    rows = ids.selectExpr("0 AS bucket", "doc_id", "ids").orderBy("doc_id").toArrow().to_batches()
+    tokens.write_file(ids, [], path, 1)
+    segments = spark.read.parquet(path)
+    assert segments.select(F.input_file_name()).distinct().count() == 1
+    check(tokens.read_file(spark, path).collect(), texts, oracle)
+    # The same here, to see how often the coder is called.
+    held, calls, coder = [], [], rangecoder.encode_blocks
+    monkeypatch.setattr(tokens.common, "map_batches", lambda df, run, schema: held.append(run) or df)
+    monkeypatch.setattr(rangecoder, "encode_blocks", lambda blocks: calls.append(len(blocks)) or coder(blocks))
+    tokens.write_file(ids, [], scratch_path(spark, "tokens"), 1)
+    out = [row for batch in held[0](iter(rows)) for row in batch.to_pylist()]
+    assert len(out) > 3
+    assert calls == [sum(len(row["blocks"]) for row in out)]
